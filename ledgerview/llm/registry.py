@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerview.llm import quality_rules
+from ledgerview.llm import quality_rules, secret_scan
 
 
 def queries():
-    return {"op6_quality_rules": quality_rules.query}
+    return {"op6_quality_rules": quality_rules.query, "op7_secret_scan": secret_scan.query}
 
 
 def oracle_sql():
