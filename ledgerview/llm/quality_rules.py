@@ -36,8 +36,8 @@ def line_fails(line: Column) -> Column:
     """True for a line that the rules remove; blank lines never fail."""
     dense = F.translate(line, SPACES, "")
     chars = F.length(dense)
-    letters = F.length(F.regexp_replace(dense, r"\P{L}", ""))
-    upper = F.length(F.regexp_replace(dense, r"\P{Lu}", ""))
+    letters = F.length(F.regexp_replace(dense, r"\P{L}+", ""))
+    upper = F.length(F.regexp_replace(dense, r"\P{Lu}+", ""))
     words = F.length(F.regexp_replace(F.trim(line), r"[^\x20\x09-\x0D]+", "")) + 1
     navigation = _count(line, "|") >= NAV_BARS
     symbols = _count(line, SYMBOLS) > MAX_SYMBOL_SHARE * chars
@@ -61,7 +61,8 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__w", F.filter(F.split(t, WORD_GAP), lambda w: w != "")).withColumn("__l", F.split(t, "\n"))
     w = F.col("__w")
     out = out.withColumn("n_words", F.size(w).cast("long"))
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    first = F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
+    windows = F.transform(first, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, WINDOW))))
     out = out.withColumn("__h", F.when(F.size(w) >= WINDOW, windows))
     h = F.col("__h")
     out = out.withColumn("__o", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
