@@ -21,7 +21,8 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Rules for lines.
-NAV_BARS, MAX_SYMBOL_SHARE, MAX_UPPER_SHARE, LONG_LINE_WORDS = 3, 0.25, 0.6, 12
+MAX_SYMBOL_SHARE, MIN_UPPER, MAX_UPPER_SHARE, LONG_LINE_WORDS = 0.2, 12, 0.6, 12
+NAVIGATION, NO_SYMBOLS = r"\|[^|]*\|[^|]*\|", r"[^#*$%&|<>]+"
 BOILERPLATE = r"(?i)cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|click here|sign up for|subscribe to our"
 TERMINAL = r"[.!?…:;\"'”»)\]]\s*$"
 #: A document goes if more than this share of its word characters stood in failing lines.
@@ -34,16 +35,13 @@ def _count(text: Column, chars: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line that the rules remove; blank lines never fail."""
-    dense = F.translate(line, SPACES, "")
-    chars = F.length(dense)
-    letters = F.length(F.regexp_replace(dense, r"\P{L}+", ""))
-    upper = F.length(F.regexp_replace(dense, r"\P{Lu}+", ""))
-    words = F.length(F.regexp_replace(F.trim(line), r"[^\x20\x09-\x0D]+", "")) + 1
-    navigation = _count(line, "|") >= NAV_BARS
-    symbols = _count(line, SYMBOLS) > MAX_SYMBOL_SHARE * chars
-    shouting = (letters >= 20) & (upper > MAX_UPPER_SHARE * letters)
-    unpunctuated = ~line.rlike(TERMINAL) & (words < LONG_LINE_WORDS)
-    return (chars > 0) & (navigation | symbols | line.rlike(BOILERPLATE) | shouting | unpunctuated)
+    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    upper = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
+    words = F.size(F.split(F.trim(line), WORD_GAP))
+    symbols = F.length(F.regexp_replace(line, NO_SYMBOLS, "")) > MAX_SYMBOL_SHARE * F.length(line)
+    shouting = (upper >= MIN_UPPER) & (upper > MAX_UPPER_SHARE * letters)
+    unpunctuated = ~line.rlike(TERMINAL) & line.rlike(r"[^\x20\x09-\x0D]") & (words < LONG_LINE_WORDS)
+    return line.rlike(NAVIGATION) | symbols | line.rlike(BOILERPLATE) | shouting | unpunctuated
 
 
 def _repeat_words(hashes: Column, ordered: Column) -> Column:
@@ -78,7 +76,8 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     lost = F.col("word_chars") - F.length(F.translate(F.col("clean_text"), SPACES, ""))
-    out = out.withColumn("lost_share", F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(F.lit(0.0)))
+    some = (F.col("word_chars") > 0) & (F.size("__k") < F.size("__l"))
+    out = out.withColumn("lost_share", F.when(some, lost / F.col("word_chars")).otherwise(F.lit(0.0)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOST_SHARE))
     return out.drop("__t", "__w", "__l", "__h", "__o", "__f", "__k")
 
