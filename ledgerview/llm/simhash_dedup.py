@@ -70,22 +70,22 @@ def _build(values: np.ndarray, members: np.ndarray):
     return root, rest[:0], [(int(d), _build(values, rest[far == d])) for d in np.unique(far)]
 
 
-def _search(values: np.ndarray, tree, asked: np.ndarray, near) -> None:
+def _search(values: np.ndarray, tree, asked: np.ndarray, near, radius: int) -> None:
     """Tell near(root, those within the radius) along all edges that the radius allows."""
     stack = [(tree, asked)]
     while stack:
         (root, rest, children), asked = stack.pop()
         far = np.bitwise_count(values[asked] ^ values[root])
-        near(root, asked[far <= RADIUS])
+        near(root, asked[far <= radius])
         for one in rest:
-            near(one, asked[np.bitwise_count(values[asked] ^ values[one]) <= RADIUS])
+            near(one, asked[np.bitwise_count(values[asked] ^ values[one]) <= radius])
         for d, child in children:
-            go = asked[np.abs(far.astype(np.int64) - d) <= RADIUS]
+            go = asked[np.abs(far.astype(np.int64) - d) <= radius]
             if len(go):
                 stack.append((child, go))
 
 
-def forest(values: np.ndarray) -> np.ndarray:
+def forest(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each value of one shard the least value of its group, by a BK-tree search of the shard in itself."""
     parent = np.arange(len(values))
 
@@ -100,7 +100,7 @@ def forest(values: np.ndarray) -> np.ndarray:
             least = min(tops)
             parent[list(tops)] = least
 
-    _search(values, _build(values, np.arange(len(values))), np.arange(len(values)), near)
+    _search(values, _build(values, np.arange(len(values))), np.arange(len(values)), near, radius)
     return values[[find(x) for x in range(len(values))]]
 
 
@@ -148,22 +148,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(key, fp)
 
 
-def shards(distinct: DataFrame, n: int) -> DataFrame:
-    """(shard, fp): every fingerprint in one shard for each choice of agreeing blocks."""
-    blocks, agree = (6, 2) if n < 1 << 26 else (7, 3)
+def shards(rows: DataFrame, scheme: tuple[int, int], value: str, ident: str) -> DataFrame:
+    """rows with a column `shard`: every 64-bit value in one shard for each choice of agreeing blocks.
+
+    scheme: (blocks, agree); values that differ in at most blocks - agree bits share a shard. ident tells rows apart.
+    """
+    blocks, agree = scheme
     edge = [round(64 * k / blocks) for k in range(blocks + 1)]
-    part = lambda k: F.shiftrightunsigned("fp", edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1))
+    part = lambda k: F.shiftrightunsigned(value, edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1))
     keys = []
     for c, chosen in enumerate(combinations(range(blocks), agree)):
         key = F.lit(c).cast("long")
         for k in chosen:
             key = F.shiftleft(key, edge[k + 1] - edge[k]).bitwiseOR(part(k))
         keys.append(key)
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    names = rows.columns
+    rows = rows.select(*names, F.explode(F.array(*keys)).alias("key"))
     hot = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    rows = rows.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = rows.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64(ident), F.col("parts")).cast("int"))
     lower = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(j, "mine"), F.greatest(j, "mine")))
-    return rows.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(lower)).alias("shard"))
+    return rows.select(*names, F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(lower)).alias("shard"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -172,7 +176,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = cut(docs.select("doc_id", "text").mapInArrow(_fingerprint, "doc_id long, fp long"), "fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = shards(distinct, distinct.count()).repartition(parts, "shard").sortWithinPartitions("shard").select("shard", "fp")
+    scheme = (6, 2) if distinct.count() < 1 << 26 else (7, 3)
+    dealt = shards(distinct.select("fp"), scheme, "fp", "fp").repartition(parts, "shard").sortWithinPartitions("shard").select("shard", "fp")
     stars = components(dealt.mapInArrow(_links, "u long, v long"))
     tops = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("top")), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     tops = cut(tops, "tops")

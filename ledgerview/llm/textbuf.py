@@ -97,3 +97,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def sequence_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs items[first:last], equal for equal runs."""
+    power, inverse = _power(len(items) + 1)
+    sums = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * power[: len(items)], out=sums[1:])
+    return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
