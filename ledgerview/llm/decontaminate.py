@@ -28,9 +28,10 @@ from ledgerview.llm import textbuf
 from ledgerview.llm.common import prepare
 
 LEAST_WORDS, PROBE_WORDS, PASSAGE = 5, 96, 48
-MOST_ITEMS, MOST_SHARE, RANK, EXTRA, SEED = 200_000, 0.01, 192, 8, 11
-#: Candidates: least cosine, and least TF-IDF mass of a window as a share of the smallest mass of a probe.
-COSINE, MASS = 0.25, 0.2
+MOST_ITEMS, MOST_SHARE, LEAST_TERMS, RANK, EXTRA, SEED = 200_000, 0.001, 12, 128, 8, 11
+#: Candidates: least cosine; least TF-IDF mass and number of terms of a window, as shares of the least of a probe; least
+#: share of the probe's mass in the terms that both have. All are well below what LIKELY needs.
+COSINE, MASS, MATCHES, COVER = 0.25, 0.4, 0.4, 0.3
 #: Longest common subsequence as a share of the probe: enough by itself, and enough with the closing words.
 SURE, LIKELY, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.55, 5, 0.6
 SCALES = (32, 64, 128)
@@ -81,7 +82,7 @@ class Probes:
         use = df <= max(MOST_SHARE * passages, 1)
         for own in self.words:  # every probe keeps at least its rarest terms
             at = self.index(np.unique(own))
-            use[at[np.argsort(df[at], kind="stable")[:LEAST_WORDS]]] = True
+            use[at[np.argsort(df[at], kind="stable")[:LEAST_TERMS]]] = True
         self.weight = np.where(use, idf, 0).astype(np.float32)
 
     def fit(self, rows: np.ndarray, sketch: np.ndarray) -> None:
@@ -102,6 +103,9 @@ class Probes:
         self.space = u[:, :RANK][:, s[:RANK] > 1e-6 * s[0]].astype(np.float32)
         latent = own @ self.space
         self.mass = (own**2).sum(axis=1)
+        self.own_terms = ((own > 0) & (self.weight > 0)).sum(axis=1)
+        self.share = np.where(own > 0, self.weight**2, 0) / np.maximum((np.where(own > 0, self.weight, 0) ** 2).sum(axis=1, keepdims=True), 1e-9)
+        self.share = self.share.astype(np.float32)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         length = np.array([len(w) for w in self.words])
         self.scale = np.searchsorted(np.array(SCALES[:-1]) / 1.3, length)
@@ -189,7 +193,8 @@ def gram_sketch(docs: DataFrame, probes: Probes) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([v.tobytes() for v in rows.values()], pa.binary())], ["i", "y"])
 
     summed = docs.select("text").mapInArrow(entries, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
-    found = summed.mapInArrow(multiply, "i long, y binary").collect()  # a few rows of RANK numbers for each term
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = summed.repartition(parts, "i").mapInArrow(multiply, "i long, y binary").collect()  # RANK numbers for each term
     y = np.zeros((terms, RANK + EXTRA))
     for i, raw in found:
         y[i] += np.frombuffer(raw)
@@ -223,7 +228,7 @@ def _windows(term: np.ndarray, first: np.ndarray, mass: np.ndarray, probes: Prob
         start = first[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
         end = np.minimum(start + size, first[doc + 1])
         a, b = np.searchsorted(spots, start), np.searchsorted(spots, end)
-        keep = (sums[b] - sums[a]) >= MASS * probes.mass[mine].min()
+        keep = ((sums[b] - sums[a]) >= MASS * probes.mass[mine].min()) & (b - a >= MATCHES * probes.own_terms[mine].min())
         start, end, a, b = start[keep], end[keep], a[keep], b[keep]
         for lo in range(0, len(start), 4096):
             part = slice(lo, lo + 4096)
@@ -235,6 +240,10 @@ def _windows(term: np.ndarray, first: np.ndarray, mass: np.ndarray, probes: Prob
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
             cosine = z @ probes.latent[mine].T
             w, p = np.nonzero(cosine >= COSINE)
+            pair = np.repeat(np.arange(len(w)), n[w])
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n[w]) - n[w], n[w]) + a[part][w[pair]]
+            cover = np.bincount(pair, probes.share[mine[p[pair]], held[at]], len(w))
+            w, p = w[cover >= COVER], p[cover >= COVER]
             yield start[part][w], end[part][w], mine[p], cosine[w, p]
 
 
