@@ -28,7 +28,7 @@ from ledgerview.llm.common import cut, drop_cut, prepare
 from ledgerview.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-HOT, PART, LEAF = 4096, 2048, 16
+HOT, PART, LEAF, SAMPLE, MOST_HOT = 4096, 2048, 16, 64, 100_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -164,7 +164,12 @@ def shards(rows: DataFrame, scheme: tuple[int, int], value: str, ident: str) ->
         keys.append(key)
     names = rows.columns
     rows = rows.select(*names, F.explode(F.array(*keys)).alias("key"))
-    hot = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    # a key's size only decides how its rows are dealt, never what is compared, so a sample of the rows tells it
+    few = rows.filter(F.pmod(F.xxhash64(ident), F.lit(SAMPLE)) == 0).groupBy("key").count()
+    hot = few.filter(F.col("count") * SAMPLE > HOT).select("key", F.ceil(F.col("count") * SAMPLE / PART).cast("int").alias("parts"))
+    hot = cut(hot, "hot-shards")
+    if hot.count() <= MOST_HOT:
+        hot = F.broadcast(hot)
     rows = rows.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64(ident), F.col("parts")).cast("int"))
     lower = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(j, "mine"), F.greatest(j, "mine")))
     return rows.select(*names, F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(lower)).alias("shard"))
