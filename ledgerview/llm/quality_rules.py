@@ -91,7 +91,32 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, the others lose their failing lines."""
+    row = F.struct(*docs.columns).alias("__row")  # so that columns with the names of results keep their values
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    row = F.struct(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    kept = F.struct(*(new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns))
     # inline() instead of a filter: a predicate would be pushed down and its whole derivation repeated inside it
-    return judge(docs).select(F.inline(F.when(F.col("kept"), F.array(row))))
+    return judge(docs.select(row, "text")).select(F.inline(F.when(F.col("kept"), F.array(kept))))
+
+
+#: DuckDB SQL for query()'s rows.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS l FROM d),
+win AS (SELECT k, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x FROM (SELECT k, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x) AS n FROM win) WHERE n > 1),
+covered AS (SELECT k, sum(least({WINDOW}, i - coalesce(before, i - {WINDOW}))) AS n FROM
+  (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM twice) GROUP BY k),
+lines AS (SELECT *, list_filter(l, lambda x: NOT (
+  regexp_matches(x, '{NAVIGATION}') OR length(regexp_replace(x, '{NO_SYMBOLS}', '', 'g')) > {MAX_SYMBOL_SHARE} * length(x)
+  OR regexp_matches(x, '{BOILERPLATE}')
+  OR (length(regexp_replace(x, '\P{{Lu}}+', '', 'g')) >= {MIN_UPPER} AND length(regexp_replace(x, '\P{{Lu}}+', '', 'g')) > {MAX_UPPER_SHARE} * length(regexp_replace(x, '\P{{L}}+', '', 'g')))
+  OR (NOT regexp_matches(x, '{TERMINAL.replace("'", "''")}') AND regexp_matches(x, '[^\x20\x09-\x0D]') AND len(string_split_regex(trim(x), '[\x20\x09-\x0D]+')) < {LONG_LINE_WORDS}))) AS good FROM w),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '{NO_SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
+  (len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(array_to_string(good, chr(10)), '[\x20\x09-\x0D]+', '', 'g')) AS good_chars
+  FROM lines LEFT JOIN covered USING (k)),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN (word_chars - good_chars) / word_chars ELSE 0 END AS lost FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {MAX_LOST_SHARE} AS kept, round(lost, 6) AS lost_share FROM v
+"""
