@@ -34,7 +34,8 @@ class Engine:
         self.spark, self.log, self.compat = spark, log, compat
         self.registry, self.rows = Registry(), {}
 
-    def register(self, view: ViewSpec, rows: DataFrame | None = None) -> ViewSpec:
+    def register(self, view: ViewSpec, rows: DataFrame | Callable[[], DataFrame] | None = None) -> ViewSpec:
+        """rows: the view's rows, or a function that makes them when they are first asked for."""
         self.registry.add(view)
         if rows is not None:
             self.rows[view.name.lower()] = rows
@@ -45,7 +46,11 @@ class Engine:
     def view(self, name: str) -> DataFrame:
         spec = self.registry.get(name)
         found = self.rows.get(spec.name.lower())
-        return found if found is not None else views.rebuild(self.log, spec, self.registry)
+        if found is None:
+            return views.rebuild(self.log, spec, self.registry)
+        if not isinstance(found, DataFrame):
+            found = self.rows[spec.name.lower()] = found()
+        return found
 
     def query(self, name: str, where: str | Callable = "", start: int = 0, count: int = -1, orderby: str = "") -> queries.Result:
         """where: filter text, or a function of the view's columns: lambda v: v.Serial.between(1, 3) & (v.Status == 2)."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerview.sources import store
 
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def type_glob(pattern: str, column: str = "typename") -> Column:
     """Whether a type name matches a glob with * and ?."""
@@ -42,10 +44,10 @@ def apply_changes(log: DataFrame, changes: DataFrame) -> DataFrame:
 
 def backup(log: DataFrame, since: int, path: str) -> None:
     """Entries after `since` as gzipped JSON lines."""
-    log.filter(F.col("version") > since).write.mode("append").json(path, compression="gzip", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    log.filter(F.col("version") > since).write.mode("append").option("timestampNTZFormat", STAMP).json(path, compression="gzip")
 
 
 def restore(spark, path: str, out: str, checkpoint: str) -> None:
     """Read backup files once each into the log at `out`; the checkpoint lets a broken run go on."""
-    stream = spark.readStream.schema(store.LOG).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    stream = spark.readStream.schema(store.LOG).option("timestampNTZFormat", STAMP).json(path)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

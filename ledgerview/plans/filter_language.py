@@ -242,8 +242,8 @@ class Compiler:
             return F.lit(as_timestamp(value)).cast("timestamp_ntz")
         if column.kind == "guid":
             return F.lit(as_guid(value))
-        if column.kind == "bool" and not isinstance(value, bool):
-            raise FilterError(f"{column.name} is compared with true or false only", 0)
+        if (column.kind == "bool") != isinstance(value, bool):
+            raise FilterError(f"{column.name} is of type {column.kind}; {value!r} is not", 0)
         return F.lit(value).cast(column.spark_type)
 
     def side(self, field: Field) -> SparkColumn:
@@ -265,6 +265,8 @@ class Compiler:
         if isinstance(tree, Not):
             return ~F.coalesce(self.predicate(tree.part), F.lit(False))
         if isinstance(tree, Field):
+            if self.known(tree).kind != "bool" or tree.part:
+                raise FilterError("a condition expected", tree.at)
             return self.compare("=", tree, True)
         if isinstance(tree, Between):
             return self.between(tree)

@@ -118,9 +118,8 @@ def document_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def engine(spark: SparkSession, d: str) -> Engine:
-    found = Engine(spark, event_log(spark, d))
-    found.register(INVOICE, invoices(spark, d))
-    found.register(ITEMS, item_rows(spark, d))
-    found.register(EVENT, event_rows(spark, d))
-    found.register(DOCUMENT, document_rows(spark, d))
+    """All fixture views; tables are opened only for the views that a query asks for."""
+    found = Engine(spark)
+    for view, rows in ((INVOICE, invoices), (ITEMS, item_rows), (EVENT, event_rows), (DOCUMENT, document_rows)):
+        found.register(view, lambda rows=rows: rows(spark, d))
     return found
