@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: One word: a maximal run without ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -24,19 +26,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_of(column: str = "text") -> Column:
-    """The text, a null counted as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+_own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests, one machine)."""
+    """The folder that all executors share; where none is set, on one machine (as in tests), a folder that goes at exit."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file://{tempfile.gettempdir()}/ledgerview-shared").rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="ledgerview-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return f"file://{_own_dir[0]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

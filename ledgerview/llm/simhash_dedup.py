@@ -197,8 +197,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the least doc_id stays; rows without a doc_id stay."""
+    """Pipeline stage: of each group the document with the least doc_id stays, and of equal rows one; rows without a
+    doc_id stay."""
     names = docs.columns
     first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*names)
