@@ -63,10 +63,17 @@ class Engine:
     def fetch(self, docid: str) -> DataFrame:
         return store.fetch(self.log, docid)
 
-    def full_text_search(self, text: str, latest_only: bool = False) -> DataFrame:
-        """Versions of documents that match, in order."""
+    def full_text_search(self, text: str, start: int = 0, count: int = -1, latest_only: bool = False) -> queries.Result:
+        """Versions of documents that match, in order, a page of them."""
         log = store.latest(self.log) if latest_only else self.log
-        return fulltext.search_documents(log, text, json=True).orderBy("version")
+        matched = fulltext.search_documents(log, text, json=True)
+        page = matched.orderBy("version")
+        page = page.offset(start) if start else page
+        return queries.Result(page.limit(count) if count >= 0 else page, matched, "documents")
+
+    def request(self, name: str, url_query: str) -> queries.Result:
+        """A query as a URL carries it: ?filter&start=&count=&orderby=."""
+        return self.query(name, **queries.parse_url(url_query))
 
     def call(self, function: str, where: str = "", *args) -> DataFrame:
         return registered.call(function, self, where, *args)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +79,46 @@ def postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(document_tokens(F.col(text))).alias("word")).distinct()
+
+
+def custom_tokens(text: Column, words_of) -> Column:
+    """Tokens of a user's function str -> list of words, in Arrow batches."""
+    @F.pandas_udf("array<string>")
+    def tokens(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else sorted(set(words_of(t))))
+
+    return tokens(text)
+
+
+def camel_tokens(text: Column) -> Column:
+    """document_tokens with words also cut before upper-case letters, for texts that are not lower-cased first."""
+    cut = F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})", " ")
+    return document_tokens(cut)
+
+
+class TextIndex:
+    """A standalone index of named documents: postings, and names that were removed."""
+
+    def __init__(self, docs: DataFrame, name: str = "name", text: str = "text"):
+        self.name, self.text, self.docs = name, text, docs
+
+    def index(self, more: DataFrame) -> TextIndex:
+        """With more documents; those of a known name replace it."""
+        kept = self.docs.join(more.select(self.name).distinct(), self.name, "left_anti")
+        return TextIndex(kept.unionByName(more.select(*self.docs.columns)), self.name, self.text)
+
+    def remove(self, names: DataFrame) -> TextIndex:
+        return TextIndex(self.docs.join(names.select(self.name).distinct(), self.name, "left_anti"), self.name, self.text)
+
+    def is_indexed(self, name) -> bool:
+        return not self.docs.filter(F.col(self.name) == name).isEmpty()
+
+    def find_documents(self, query: str) -> DataFrame:
+        text = F.col(self.text)
+        return self.docs.filter(query_column(document_tokens(text), query, F.lower(text)))
+
+    def find_names(self, query: str) -> DataFrame:
+        return self.find_documents(query).select(self.name)
+
+    def postings(self) -> DataFrame:
+        return postings(self.docs, self.name, self.text)

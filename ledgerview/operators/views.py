@@ -93,3 +93,22 @@ def commit(log: DataFrame, docs: DataFrame, view: ViewSpec, start: int) -> tuple
     if view.transaction and view.valid is not None and not docs.filter(~F.coalesce(view.valid(docs), F.lit(False))).isEmpty():
         return log, False
     return store.append(log, docs, view.doctype, start), True
+
+
+def sql_mapper(text: str):
+    """A mapper from one SELECT over {docs}: the declarative form of a script view. Nothing else is executed."""
+    if not text.lstrip().lower().startswith(("select", "with")):
+        raise ValueError("a script view is one SELECT")
+    return lambda docs: docs.sparkSession.sql(text, docs=docs)
+
+
+def with_pending(rows: DataFrame, pending: DataFrame) -> DataFrame:
+    """Rows and, after them, the rows of a transaction that is still open, which take the place of their documents' rows."""
+    kept = rows.join(pending.select(DOCID).distinct(), DOCID, "left_anti")
+    return kept.unionByName(pending, allowMissingColumns=True)
+
+
+def correlated_count(rows: DataFrame, other: DataFrame, on: Column, key: str, name: str = "n") -> DataFrame:
+    """A count of matching rows of another view for each row: one aggregate and one join instead of a query a row."""
+    per = other.groupBy(key).agg(F.count("*").alias(name))
+    return rows.join(per, on, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))

@@ -429,6 +429,91 @@ def file_fetch(s, d):
     return store.latest(log, "fileid").select("fileid", "version", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
+PAGES = "WITH log AS (SELECT 'f' || (page_id % 40) AS fileid, page_id AS version, page_id % 11 = 0 AS is_deleted, html FROM pages)"
+
+
+def _files(s, d):
+    p = X.table(s, d, "pages")
+    fileid = F.concat(F.lit("f"), (F.col("page_id") % 40).cast("string"))
+    return p.select(fileid.alias("fileid"), F.col("page_id").alias("version"), F.lit(None).cast("timestamp_ntz").alias("ts"), (F.col("page_id") % 11 == 0).alias("is_deleted"), F.encode("html", "UTF-8").alias("content"))
+
+
+@_add("file_history", f"{PAGES}, dead AS (SELECT fileid, max(version) AS v FROM log WHERE is_deleted GROUP BY 1) SELECT fileid, version FROM log LEFT JOIN dead USING (fileid) WHERE v IS NULL OR version > v")
+def file_history(s, d):
+    return store.history(_files(s, d), key="fileid")
+
+
+@_add("file_delete", f"{PAGES}, top AS (SELECT fileid, arg_max(is_deleted, version) AS dead, max(version) AS version FROM log GROUP BY 1) SELECT fileid, version FROM top WHERE NOT dead AND fileid NOT IN ('f3', 'f5')")
+def file_delete(s, d):
+    gone = s.createDataFrame([("f3", 0), ("f5", 1)], "fileid string, ordinal long").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    return store.latest(store.delete_file(_files(s, d), gone, 10**10), "fileid").select("fileid", "version")
+
+
+@_add("file_version", f"{PAGES} SELECT fileid, version, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM log WHERE version = 7")
+def file_version(s, d):
+    return store.fetch_version(_files(s, d), 7).select("fileid", "version", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@_add("view_sql_script", "SELECT md5('orders:' || o_orderkey) AS docid, l_linenumber AS \"Line\", CAST(l_quantity AS DECIMAL(18,2)) AS \"QTY\" FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 4 = 1")
+def view_sql_script(s, d):
+    mapper = views.sql_mapper("SELECT docid, item.Line, item.QTY FROM {docs} LATERAL VIEW explode(Items) AS item WHERE Status = 1")
+    return mapper(X.invoice_documents(s, d))
+
+
+@_add("view_pending", f"{ROWS} SELECT * FROM rows_ WHERE docid <> 'u1' UNION ALL SELECT 'u1', 20000000000, 7, 'x'")
+def view_pending(s, d):
+    pending = s.createDataFrame([("u1", 20_000_000_000, 7, "x")], "docid string, _rownum long, k int, typename string")
+    return views.with_pending(views.rebuild(X.event_log(s, d), EVENT_VIEW, _registry()), pending)
+
+
+@_add("map_correlated_count", "SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def map_correlated_count(s, d):
+    nation, customer = X.table(s, d, "nation"), X.table(s, d, "customer")
+    return views.correlated_count(nation, customer, F.col("n_nationkey") == F.col("c_nationkey"), "c_nationkey").select("n_nationkey", "n")
+
+
+@_add("ft_search_paged", r"SELECT event_id AS version FROM events WHERE list_contains(regexp_extract_all(props, '\d+'), '69') ORDER BY 1 LIMIT 4 OFFSET 1")
+def ft_search_paged(s, d):
+    from ledgerview.engine import Engine
+
+    return Engine(s, X.event_log(s, d)).full_text_search("69", 1, 4).df
+
+
+@_add("text_index", f"{WORDS_SQL} SELECT doc_id FROM t WHERE doc_id % 10 <> 3 AND list_contains(w, 'the') AND NOT list_contains(w, 'of')")
+def text_index(s, d):
+    docs = X.table(s, d, "documents").select("doc_id", "text")
+    index = fulltext.TextIndex(docs, "doc_id").remove(docs.filter("doc_id % 10 = 3"))
+    return index.find_names("the -of")
+
+
+@_add("url_query", f'WITH {X.INVOICE_SQL} SELECT docid, _rownum FROM inv WHERE "Serial" < 100 ORDER BY "Serial" DESC, _rownum DESC LIMIT 10 OFFSET 5')
+def url_query(s, d):
+    return X.engine(s, d).request("SalesInvoice", "?serial%20%3C%20100&start=5&count=10&orderby=serial%20desc").df.select("docid", ROWNUM)
+
+
+# Not in the reference: what Spark offers over views anyway.
+
+
+@_add("superset_rollup", f'WITH {X.INVOICE_SQL} SELECT "Status", "Approved", count(*) AS n FROM inv GROUP BY ROLLUP ("Status", "Approved")')
+def superset_rollup(s, d):
+    return X.engine(s, d).view("SalesInvoice").rollup("Status", "Approved").agg(F.count("*").alias("n"))
+
+
+@_add("superset_window_top", f'WITH {X.INVOICE_SQL} SELECT docid, "Status" FROM (SELECT *, row_number() OVER (PARTITION BY "Status" ORDER BY "Total" DESC, _rownum) AS r FROM inv) WHERE r <= 3')
+def superset_window_top(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("Status").orderBy(F.desc("Total"), ROWNUM)
+    return X.engine(s, d).view("SalesInvoice").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("docid", "Status")
+
+
+@_add("superset_set_ops", f'WITH {X.INVOICE_SQL} SELECT docid FROM inv WHERE "Serial" < 50 INTERSECT SELECT docid FROM inv WHERE "Status" = 1 EXCEPT SELECT docid FROM inv WHERE "Serial" = 5')
+def superset_set_ops(s, d):
+    e = X.engine(s, d)
+    ids = lambda where: e.query("SalesInvoice", where).df.select("docid")
+    return ids("Serial < 50").intersect(ids("Status = 1")).exceptAll(ids("Serial = 5"))
+
+
 @_add("changes_since", f"{LOG} SELECT docid, typename, version FROM log WHERE version > 500")
 def changes_since(s, d):
     return sync.changes_since(X.event_log(s, d), 500).select("docid", "typename", "version")

@@ -24,21 +24,22 @@ def fetch(log: DataFrame, docid) -> DataFrame:
     return latest(log.filter(F.col("docid") == docid))
 
 
-def _lives(log: DataFrame) -> DataFrame:
-    """Entries after the last tombstone of their id."""
-    dead = log.filter("is_deleted").groupBy("docid").agg(F.max("version").alias("__dead"))
-    return log.join(dead, "docid", "left").filter("__dead is null or version > __dead").drop("__dead")
+def _lives(log: DataFrame, key: str) -> DataFrame:
+    """Entries after the last tombstone of their key."""
+    dead = log.filter("is_deleted").groupBy(key).agg(F.max("version").alias("__dead"))
+    return log.join(dead, key, "left").filter("__dead is null or version > __dead").drop("__dead")
 
 
-def history(log: DataFrame, docid=None) -> DataFrame:
-    """docid and version of all entries that can still be reached, of one id or of all."""
-    some = log if docid is None else log.filter(F.col("docid") == docid)
-    return _lives(some).select("docid", "version")
+def history(log: DataFrame, value=None, key: str = "docid") -> DataFrame:
+    """Key and version of all entries that can still be reached, of one key or of all; files have key fileid."""
+    some = log if value is None else log.filter(F.col(key) == value)
+    return _lives(some, key).select(key, "version")
 
 
-def history_info(log: DataFrame, docid=None) -> DataFrame:
-    some = log if docid is None else log.filter(F.col("docid") == docid)
-    return _lives(some).select("docid", "version", F.col("ts").alias("change_date"))
+def history_info(log: DataFrame, value=None, key: str = "docid") -> DataFrame:
+    """history() with the time of each change."""
+    some = log if value is None else log.filter(F.col(key) == value)
+    return _lives(some, key).select(key, "version", F.col("ts").alias("change_date"))
 
 
 def fetch_version(log: DataFrame, version: int) -> DataFrame:
@@ -86,3 +87,15 @@ def put_files(files: DataFrame, new: DataFrame, start: int) -> DataFrame:
 
 def fetch_file(files: DataFrame, fileid) -> DataFrame:
     return latest(files.filter(F.col("fileid") == fileid), "fileid")
+
+
+def delete_file(files: DataFrame, gone: DataFrame, start: int) -> DataFrame:
+    """The file log with tombstones for gone(fileid, ts, ordinal)."""
+    new = gone.select("fileid", (F.lit(start) + F.col("ordinal")).cast("long").alias("version"), "ts", F.lit(True).alias("is_deleted"), F.lit(None).cast("binary").alias("content"))
+    return files.unionByName(new)
+
+
+def from_folder(spark, path: str, start: int = 0) -> DataFrame:
+    """A folder of files as a file log; versions are the times of change in microseconds."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("path").alias("fileid"), (F.lit(start) + F.unix_micros("modificationTime")).alias("version"), F.col("modificationTime").cast("timestamp_ntz").alias("ts"), F.lit(False).alias("is_deleted"), "content")

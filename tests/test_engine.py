@@ -164,6 +164,25 @@ def test_fulltext_language(spark):
     assert {r.word: r.freq for r in fulltext.word_frequency(df, "t").collect()} == {"red": 1, "car": 2, "blue": 1, "42": 1, "green": 1}
 
 
+def test_text_index_and_tokenizers(spark):
+    docs = spark.createDataFrame([("a", "red car"), ("b", "blueCar 42")], "name string, text string")
+    index = fulltext.TextIndex(docs)
+    assert index.is_indexed("a") and [r.name for r in index.find_names("red").collect()] == ["a"]
+    more = index.index(spark.createDataFrame([("a", "green"), ("c", "red")], "name string, text string"))
+    assert [r.name for r in more.find_names("red").collect()] == ["c"] and not more.remove(docs).is_indexed("a")
+    assert more.postings().filter("word = 'green'").count() == 1
+    camel = docs.filter("name = 'b'").select(fulltext.camel_tokens(F.col("text")).alias("w")).first().w
+    own = docs.filter("name = 'a'").select(fulltext.custom_tokens(F.col("text"), lambda t: t.split("e")).alias("w")).first().w
+    assert camel == ["blue", "car", "42"] and own == ["d car", "r"]
+
+
+def test_script_views_take_one_select(spark):
+    with pytest.raises(ValueError):
+        views.sql_mapper("DROP TABLE x")
+    docs = spark.createDataFrame([("d", 1)], "docid string, n int")
+    assert views.sql_mapper("SELECT docid, n + 1 AS m FROM {docs}")(docs).first().m == 2
+
+
 def test_urls_and_cron():
     assert parse_url("?serial%3C100&start=5&count=10&orderby=serial+desc") == {"where": "serial<100", "start": 5, "count": 10, "orderby": "serial desc"}
     assert parse_url("start=2")["start"] == 2 and parse_url("")["count"] == -1
