@@ -19,7 +19,7 @@ ROUNDS = 8
 KEY = "change-this-key"
 KINDS = ("email", "ip", "date", "ssn", "card", "phone")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,20}"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}|\d{4}/\d{2}/\d{2})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])"
