@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerview.functions import fulltext, registered
 from ledgerview.operators import views
 from ledgerview.plans import query as queries
-from ledgerview.schema import Registry, ViewSpec
+from ledgerview.schema import DOCID, ROWNUM, Registry, ViewSpec
 from ledgerview.sources import store
 
 
@@ -33,6 +33,8 @@ class Engine:
     def __init__(self, spark: SparkSession, log: DataFrame | None = None, compat: bool = False):
         self.spark, self.log, self.compat = spark, log, compat
         self.registry, self.rows = Registry(), {}
+        self.inserts: dict[str, DataFrame] = {}
+        self.deletes: dict[str, list[tuple[int, str]]] = {}
 
     def register(self, view: ViewSpec, rows: DataFrame | Callable[[], DataFrame] | None = None) -> ViewSpec:
         """rows: the view's rows, or a function that makes them when they are first asked for."""
@@ -46,11 +48,52 @@ class Engine:
     def view(self, name: str) -> DataFrame:
         spec = self.registry.get(name)
         found = self.rows.get(spec.name.lower())
+        key = spec.name.lower()
         if found is None:
-            return views.rebuild(self.log, spec, self.registry)
+            return views.rebuild(self.log, spec, self.registry, self.inserts.get(key), self.deletes.get(key, ()))
         if not isinstance(found, DataFrame):
-            found = self.rows[spec.name.lower()] = found()
-        return found
+            found = self.rows[key] = found()
+        if key in self.inserts:
+            found = found.unionByName(self.inserts[key], allowMissingColumns=True)
+        return views.replay_deletes(found, spec, self.deletes.get(key, ()))
+
+    def next_version(self) -> int:
+        """One more than any version or row number given so far: one aggregate over the log."""
+        last = self.log.agg(F.max("version")).first()[0] if self.log is not None else None
+        held = [df.agg(F.max(ROWNUM)).first()[0] for df in self.inserts.values()]
+        return 1 + max([last or 0, *(x or 0 for x in held), *(at for d in self.deletes.values() for at, _ in d)])
+
+    def save(self, docs: DataFrame, typename: str, require_primary_view: bool = True) -> bool:
+        """Append docs(docid, ts, body, ordinal) as one transaction; False if a document is invalid, or if the type has no
+        primary view although one is required (without: a plain key/value store of documents)."""
+        view = self.registry.primary_of(typename)
+        if view is None and require_primary_view:
+            return False
+        start = self.next_version()
+        if view is not None and view.transaction:
+            if not views.commit(self.log, docs, view, start)[1]:
+                return False
+        self.log = store.append(self.log, docs, typename, start)
+        return True
+
+    def delete(self, docids: DataFrame) -> None:
+        """Append tombstones for docids(docid, ts, ordinal)."""
+        self.log = store.delete(self.log, docids, self.next_version())
+
+    def view_insert(self, name: str, rows: DataFrame) -> None:
+        """Rows (docid, ordinal, columns) straight into a view; a rebuild keeps them."""
+        spec = self.registry.get(name)
+        new = rows.select(DOCID, (F.lit(self.next_version()) + F.col("ordinal")).cast("long").alias(ROWNUM), *(F.col(c.name).cast(c.spark_type).alias(c.name) for c in spec.columns))
+        key = spec.name.lower()
+        self.inserts[key] = self.inserts[key].unionByName(new) if key in self.inserts else new
+
+    def view_delete(self, name: str, where: str) -> int:
+        """Delete the rows of a view that match; later inserts and versions are not affected. Returns how many went."""
+        spec = self.registry.get(name)
+        gone = views.view_delete(self.view(name), spec, where)[1].first().n
+        if where.strip():
+            self.deletes.setdefault(spec.name.lower(), []).append((self.next_version(), where))
+        return gone
 
     def query(self, name: str, where: str | Callable = "", start: int = 0, count: int = -1, orderby: str = "") -> queries.Result:
         """where: filter text, or a function of the view's columns: lambda v: v.Serial.between(1, 3) & (v.Status == 2)."""

@@ -80,6 +80,23 @@ def test_transaction_is_all_or_nothing(spark):
     assert not ok and log.count() == 2
 
 
+def test_saving_and_direct_changes(spark):
+    docs = lambda *n: spark.createDataFrame([(f"d{x}", dt.datetime(2024, 1, 1), f'{{"n":{x}}}', k) for k, x in enumerate(n)], "docid string, ts timestamp_ntz, body string, ordinal long")
+    engine = Engine(spark, store.empty(spark))
+    assert not engine.save(docs(1), "s") and engine.save(docs(1), "s", require_primary_view=False)
+    view = ViewSpec("S", (Column("n", "int"),), doctype="s", primary=True, transaction=True, valid=lambda d: F.get_json_object("body", "$.n").cast("int") > 0, mapper=lambda d: d.select("docid", ROWNUM, F.get_json_object("body", "$.n").cast("int").alias("n")))
+    engine.register(view)
+    assert engine.save(docs(2, 3), "s") and not engine.save(docs(4, 0), "s")
+    rows = lambda: sorted(r.n for r in engine.view("S").collect())
+    assert rows() == [1, 2, 3]
+    engine.view_insert("s", spark.createDataFrame([("x", 0, 2), ("y", 1, 9)], "docid string, ordinal long, n int"))
+    assert engine.view_delete("S", "n = 2") == 2 and engine.view_delete("S", "") == 0 and rows() == [1, 3, 9]
+    assert engine.save(docs(2), "s") and rows() == [1, 2, 3, 9]
+    engine.delete(spark.createDataFrame([("d3", dt.datetime(2024, 1, 2), 0)], "docid string, ts timestamp_ntz, ordinal long"))
+    assert rows() == [1, 2, 9] and engine.fetch("d3").count() == 0
+    assert store.history(engine.log, "d2").count() == 2
+
+
 def test_registry_rules():
     r = Registry()
     r.is_a("child", "parent")
