@@ -28,6 +28,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
 
 
+def _round(now: DataFrame) -> DataFrame:
+    """One large-star and one small-star step: fewer, shorter edges with the same components."""
+    wide = cut(_large(now), "large-star")
+    then = cut(_small(wide.distinct()).distinct(), "small-star")
+    drop_cut(wide)
+    drop_cut(now)
+    return then
+
+
+def contracted(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges (u > v) with the same components after some rounds, not yet stars."""
+    now = cut(edges.select("u", "v").distinct(), "edges")
+    for _ in range(rounds):
+        now = _round(now)
+    return now
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) for every node u of `edges` (u > v in every row) that is not its component's least node v."""
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -36,12 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             return now
-        wide = cut(_large(now), "large-star")
-        then = cut(_small(wide.distinct()).distinct(), "small-star")
-        found = state(then)
-        drop_cut(wide)
-        drop_cut(now)
+        now = _round(now)
+        found = state(now)
         if found == seen:
-            return then
-        now, seen = then, found
+            return now
+        seen = found
     raise RuntimeError("components did not settle")

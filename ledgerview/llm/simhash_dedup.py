@@ -29,7 +29,6 @@ from ledgerview.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 HOT, PART, LEAF, SAMPLE, MOST_HOT = 4096, 2048, 16, 64, 100_000
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
@@ -44,13 +43,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     last = np.minimum(at + SHINGLE, first[1:][doc]) - 1
     text, digest = data.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(at))
-    out = np.zeros(len(words), np.uint64)
-    octets = h[:, None].view(np.uint8)  # least octet first
-    for k in range(8):
-        seen = np.bincount(doc * 256 + octets[:, k], minlength=len(words) * 256).reshape(-1, 256) @ _BITS
-        octet = np.packbits(2 * seen > count[:, None], axis=1)[:, 0] if len(words) else np.zeros(0, np.uint8)
-        out |= octet.astype(np.uint64) << np.uint64(8 * k)
-    return out
+    return textbuf.majority(h, np.concatenate([[0], np.cumsum(count)]))
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +155,12 @@ def shards(rows: DataFrame, scheme: tuple[int, int], value: str, ident: str) ->
         for k in chosen:
             key = F.shiftleft(key, edge[k + 1] - edge[k]).bitwiseOR(part(k))
         keys.append(key)
-    names = rows.columns
-    rows = rows.select(*names, F.explode(F.array(*keys)).alias("key"))
+    return split_hot(rows.select("*", F.explode(F.array(*keys)).alias("key")), ident)
+
+
+def split_hot(rows: DataFrame, ident: str) -> DataFrame:
+    """rows with `shard` in place of `key`: keys of many rows are cut, and each pair of parts is a shard."""
+    names = [c for c in rows.columns if c != "key"]
     # a key's size only decides how its rows are dealt, never what is compared, so a sample of the rows tells it
     few = rows.filter(F.pmod(F.xxhash64(ident), F.lit(SAMPLE)) == 0).groupBy("key").count()
     hot = few.filter(F.col("count") * SAMPLE > HOT).select("key", F.ceil(F.col("count") * SAMPLE / PART).cast("int").alias("parts"))

@@ -105,3 +105,31 @@ def sequence_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray) -> n
     sums = np.zeros(len(items) + 1, np.uint64)
     np.cumsum(items * power[: len(items)], out=sums[1:])
     return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+
+
+#: Each bit of an octet as a counter of its own octet, the first bit in the last octet.
+_SPREAD = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")[:, :, None], axis=2, bitorder="little").reshape(256, 8).copy().view(np.uint64)[:, 0]
+
+
+def majority(values: np.ndarray, owner_first: np.ndarray) -> np.ndarray:
+    """For each run owner_first[k]:owner_first[k + 1] of 64-bit values the bits set in over half of them; empty runs: 0.
+
+    Eight counters share a word, so that a run is summed by eight additions a value; longer runs go in parts of 255.
+    """
+    size = np.diff(owner_first)
+    parts = -(-size // 255)
+    part_owner = np.repeat(np.arange(len(size)), parts)
+    starts = owner_first[:-1][part_owner] + 255 * (np.arange(len(part_owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    out = np.zeros(len(size), np.uint64)
+    if not len(starts):
+        return out
+    filled = np.flatnonzero(parts)
+    head = np.cumsum(parts[filled]) - parts[filled]
+    octets = np.ascontiguousarray(values)[:, None].view(np.uint8)
+    for k in range(8):
+        counts = np.add.reduceat(_SPREAD[octets[:, k]], starts).view(np.uint8).reshape(-1, 8)
+        if len(counts) > len(filled):
+            counts = np.add.reduceat(counts.astype(np.int64), head, axis=0)
+        bits = np.packbits(2 * counts.astype(np.int64) > size[filled, None], axis=1, bitorder="little")[:, 0]
+        out[filled] |= bits.astype(np.uint64) << np.uint64(8 * k)
+    return out
