@@ -4,9 +4,12 @@ Every word is predicted from the WINDOW words on both sides of it: the context w
 summed, squashed, and two softmax layers give first the class of the word and then the word in its class. The
 conditional log-probabilities of all words of a text sum to its score.
 
-Word counts over all documents give the vocabulary (the most frequent words; others share hashed entries) and the
-first output biases. Training is data-parallel: from common weights every task takes gradient steps on its own
-documents (every STRIDE-th word of each, in each round at another place), and the weights are averaged by the number of
+Word counts over all documents give the vocabulary and the first output biases. The most frequent words have entries of
+their own in the network; every other word is predicted as the hashed entry it shares and then, by its count in the
+corpus, among all words of that entry. So each word has a probability of its own, and the vocabulary, a table that
+text is joined with, grows with the corpus; only the network has a fixed size. Words that the counts do not have (in texts
+of another corpus) count as one. Training is data-parallel: from common weights every task takes gradient steps on its own
+documents (every STRIDE-th word of each, in each round at another place, so that ROUNDS rounds train on every word), and the weights are averaged by the number of
 words seen, in blocks, so neither a task nor the driver holds more than one set of weights. So what is counted and learnt grows
 with the corpus. Every whole text is scored.
 
@@ -24,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerview.llm import textbuf
-from ledgerview.llm.common import prepare
+from ledgerview.llm.common import cut, prepare
 
 CLASSES, IN_CLASS = 32, 32
 VOCABULARY, HASHED = CLASSES * IN_CLASS, 128
 PAD, WINDOW, WIDTH = VOCABULARY, 2, 32
-STRIDE, ROUNDS, BATCH, RATE, SEED = 24, 2, 1024, 0.1, 3
+STRIDE, ROUNDS, BATCH, RATE, SEED = 2, 2, 1024, 0.1, 3
 BLOCKS = 16
 Weights = dict[str, np.ndarray]
 
@@ -47,9 +50,9 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield lo, hi, *_hashes(text.slice(lo, hi - lo))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words in order, and the counts of all VOCABULARY entries (the hashed ones last)."""
-    named = VOCABULARY - HASHED
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, n for every different word."""
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +60,13 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h, n = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return cut(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(docs: DataFrame, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words in order, and the counts of all VOCABULARY entries (the hashed ones last)."""
+    named = VOCABULARY - HASHED
+    counted = word_counts(docs) if counted is None else counted
     top = counted.orderBy(F.desc("n"), "h").limit(named).collect()
     words = np.array([r[0] for r in top], np.int64).view(np.uint64)
     counts = np.ones(VOCABULARY)
@@ -175,7 +184,7 @@ def averaged(docs: DataFrame, words: np.ndarray, weights: Weights, turn: int) ->
         for batch in batches:
             for _, _, hashes, first in _slices(batch):
                 ids = ids_of(hashes, known)
-                at = np.flatnonzero((np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))) % STRIDE == (turn * 7) % STRIDE)
+                at = np.flatnonzero((np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))) % STRIDE == turn % STRIDE)
                 held.append((contexts(ids, first)[at], ids[at]))
                 total += len(at)
                 if sum(len(t) for _, t in held) >= 64 * BATCH:
@@ -215,21 +224,43 @@ def _epoch(w: Weights, seen: Weights, held: list[tuple[np.ndarray, np.ndarray]])
             gradient_step(w, seen, context[at], target[at])
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, Weights]:
+def train(docs: DataFrame, counted: DataFrame | None = None) -> tuple[np.ndarray, Weights]:
     prepare(docs.sparkSession)
-    words, counts = vocabulary(docs)
+    words, counts = vocabulary(docs, counted)
     weights = first_weights(counts)
     for turn in range(ROUNDS):
         weights = averaged(docs, words, weights, turn)
     return words, weights
 
 
-SCORES = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
-
+def _shared_entries(docs: DataFrame, words: np.ndarray, counted: DataFrame) -> DataFrame:
+    """sig, inner: for each text with words that share hashed entries, the mean log-probability of such a word in its entry."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
 
-def score(docs: DataFrame, words: np.ndarray, weights: Weights) -> DataFrame:
-    """SCORES for every document."""
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, hashes, first in _slices(batch):
+                sig = np.repeat(textbuf.sequence_hashes(hashes, first[:-1], first[1:]), np.diff(first))
+                at = np.flatnonzero(ids_of(hashes, known.value) >= VOCABULARY - HASHED)
+                at = at[np.lexsort((hashes[at], sig[at]))]
+                new = np.ones(len(at), bool)
+                new[1:] = (hashes[at[1:]] != hashes[at[:-1]]) | (sig[at[1:]] != sig[at[:-1]])
+                k = np.diff(np.append(np.flatnonzero(new), len(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at[new]].view(np.int64)), pa.array(hashes[at[new]].view(np.int64)), pa.array(k.astype(np.int64))], ["sig", "h", "k"])
+
+    frequent = docs.sparkSession.createDataFrame([(int(x),) for x in words.view(np.int64)], "h long")
+    others = counted.join(F.broadcast(frequent), "h", "left_anti").withColumn("entry", F.pmod("h", F.lit(HASHED)))
+    of = others.groupBy("entry").agg(F.sum("n").alias("of"))  # HASHED rows
+    inner = others.join(F.broadcast(of), "entry").select("h", (F.log("n") - F.log("of")).alias("p"), "of")
+    least = F.lit(-float(np.log(max(1.0, float(of.agg(F.max("of")).first()[0] or 1)))))
+    rows = docs.select("text").mapInArrow(rare, "sig long, h long, k long").join(inner, "h", "left")
+    return rows.groupBy("sig").agg((F.sum(F.col("k") * F.coalesce("p", least)) / F.sum("k")).alias("inner"))
+
+
+def score(docs: DataFrame, words: np.ndarray, weights: Weights, counted: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every document; counted: the counts of the corpus of `words`, of docs themselves if not given."""
     spark = prepare(docs.sparkSession)
+    counted = word_counts(docs) if counted is None else counted
     shared = spark.sparkContext.broadcast((words, weights))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +275,17 @@ def score(docs: DataFrame, words: np.ndarray, weights: Weights) -> DataFrame:
                     logs[a + 1 : b + 1] = log_probabilities(w, context[a:b], ids[a:b])
                 sums = np.cumsum(logs)[first]
                 total, n = np.diff(sums), np.diff(first)
-                mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                sig = textbuf.sequence_hashes(hashes, first[:-1], first[1:]).view(np.int64)
+                rare = np.diff(np.concatenate([[0], np.cumsum(ids >= VOCABULARY - HASHED)])[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), pa.array(sig), pa.array(rare.astype(np.int64))], ["doc_id", "n_tokens", "total", "sig", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, SCORES)
+    rows = docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_tokens long, total double, sig long, rare long")
+    rows = rows.join(_shared_entries(docs, words, counted), "sig", "left")
+    total = F.col("total") + F.col("rare") * F.coalesce("inner", F.lit(0.0))
+    return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, *train(docs))
+    counted = word_counts(docs)
+    return score(docs, *train(docs, counted), counted)

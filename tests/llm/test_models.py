@@ -102,6 +102,24 @@ def test_pseudo_likelihood(spark, odd, none):
     assert lm_score.train(none)[0].size == 0 and lm_score.score(none, words, weights).count() == 0
 
 
+def test_rounds_train_on_every_word():
+    assert {k % lm_score.STRIDE for k in range(lm_score.ROUNDS)} == set(range(lm_score.STRIDE))
+
+
+def test_words_of_a_hashed_entry_share_its_probability(spark):
+    docs = documents(spark, [" ".join(f"word{a}x{b}" for b in range(60)) for a in range(40)] + ["word1x1"] * 2)
+    counted = lm_score.word_counts(docs)
+    known, _ = lm_score.vocabulary(docs, counted)
+    inner = lm_score._shared_entries(docs.select("text"), known, counted).toPandas()
+    rows = [(r.h % 2**64, r.n) for r in counted.collect()]
+    rest = [(h, n) for h, n in rows if h not in {int(x) for x in known}]
+    total = {}
+    for h, n in rest:
+        total[h % lm_score.HASHED] = total.get(h % lm_score.HASHED, 0) + n
+    share = [np.log(n / total[h % lm_score.HASHED]) for h, n in rest]
+    assert len(rest) == 2400 - lm_score.VOCABULARY + lm_score.HASHED and inner.inner.between(min(share), max(share)).all()
+
+
 def test_probabilities_sum_to_one():
     w = lm_score.first_weights(np.arange(1, lm_score.VOCABULARY + 1, dtype=float))
     context = np.tile(np.arange(2 * lm_score.WINDOW) * (lm_score.VOCABULARY + 1) + 3, (lm_score.VOCABULARY, 1))
