@@ -94,6 +94,8 @@ def link(found: DataFrame) -> DataFrame:
     weak = part("weak")
     parts = weak.unionByName(part("base")).select("sig", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("cls").alias("other"), F.explode(F.sequence((F.col("x.s") / SCOPE).cast("int") - 1, (F.col("x.e") / SCOPE).cast("int") + 1)).alias("bin"))
     parts = parts.dropDuplicates(["sig", "bin", "other", "s", "e"])
+    # a partner's bins reach one scope to both sides, so a weak part of any length meets it from the bins it covers
+    weak = weak.select("sig", "x", "cls", F.explode(F.sequence("bin", (F.col("x.e") / SCOPE).cast("int"))).alias("bin"))
     weak = weak.withColumn("need", F.explode(F.when(F.col("cls") == "secret", F.array(F.lit("identifier"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret")))))
     a, b = weak.alias("a"), parts.alias("b")
     near = (F.col("b.s") < F.col("a.x.e") + SCOPE) & (F.col("a.x.s") < F.col("b.e") + SCOPE)
