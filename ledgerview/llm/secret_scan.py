@@ -24,7 +24,7 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 #: Weak kinds: (kind, class, pattern).
 WEAK = (
-    ("ident", "identifier", r"(?i)\b(?:client_?id|account_?id|access_?id|user(?:name)?|login)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}|\b(?:AKIA|ASIA|AIza)[A-Za-z0-9]{4,15}\b"),
+    ("ident", "identifier", r"(?i)\b(?:client_?id|account_?id|access_?id|user(?:name)?|login)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}|\b(?:AKIA|ASIA|AIza)[A-Za-z0-9]{4,15}\b|(?<![A-Za-z0-9+/_-])(?:ASIA[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9+/_=-])"),
     ("mixed", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9a-z+/_-]{0,40}[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}"),
     ("endpoint", "endpoint", r"\b(?:https?|ftp|jdbc:[a-z]+|amqp|redis|mongodb)://[^\x20\x09-\x0D\"'<>]{3,}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b"),
 )
@@ -99,6 +99,7 @@ def link(found: DataFrame) -> DataFrame:
     weak = weak.withColumn("need", F.explode(F.when(F.col("cls") == "secret", F.array(F.lit("identifier"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret")))))
     a, b = weak.alias("a"), parts.alias("b")
     near = (F.col("b.s") < F.col("a.x.e") + SCOPE) & (F.col("a.x.s") < F.col("b.e") + SCOPE)
+    near &= (F.col("a.x.s") != F.col("b.s")) | (F.col("a.x.e") != F.col("b.e"))  # a span of two classes is no partner of itself
     linked = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.need") == F.col("b.other")) & near, "left_semi")
     return linked.groupBy("sig").agg(F.collect_set("x").alias("more"))
 

@@ -65,6 +65,13 @@ def test_long_parts_are_linked_in_both_orders(spark):
     assert got == {0: "endpoint:0:612,assign:613:627", 1: "assign:0:14,endpoint:15:627", 2: "assign:914:928"}
 
 
+def test_keys_of_real_length_are_identifiers(spark):
+    asia, google, secret = "ASIA" + "Z7QX" * 4, "AIza" + "Sy1Bc" * 7, "Ab1/" * 10
+    texts = [f"{asia} {secret}", f"key={google} {secret}", google, asia]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(documents(spark, texts)).collect()}
+    assert got == {0: "ident:0:20,mixed:21:61", 1: "ident:4:43,mixed:44:84", 2: "", 3: ""}
+
+
 def test_pseudonyms(spark, odd, none):
     texts = [*ODD, "Mail und.34@mail7.example.com or ñandú.É5@x.org at 8.196.197.208, card 4929348385146306 and 4929-3483-8514-6306; bad 9807915762804490.", "born 1984-02-29 and 29.02.1984, 03/12/2001; not 2001-13-40; ssn 123-45-6789; call +49 171 2345678 or +1 (212) 555-0187 8.8.4.4", "und.34@mail7.example.com 8.196.197.208 1984-02-29"]
     docs = documents(spark, texts)
