@@ -265,6 +265,7 @@ def score(docs: DataFrame, words: np.ndarray, weights: Weights, counted: DataFra
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = shared.value
+        w = {k: v.astype(np.float64) for k, v in w.items()}  # with rounding below, equal texts score alike wherever they stand
         for batch in batches:
             for lo, hi, hashes, first in _slices(batch):
                 ids = ids_of(hashes, known)
@@ -277,7 +278,7 @@ def score(docs: DataFrame, words: np.ndarray, weights: Weights, counted: DataFra
                 total, n = np.diff(sums), np.diff(first)
                 sig = textbuf.sequence_hashes(hashes, first[:-1], first[1:]).view(np.int64)
                 rare = np.diff(np.concatenate([[0], np.cumsum(ids >= VOCABULARY - HASHED)])[first])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), pa.array(sig), pa.array(rare.astype(np.int64))], ["doc_id", "n_tokens", "total", "sig", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.round(total, 6)), pa.array(sig), pa.array(rare.astype(np.int64))], ["doc_id", "n_tokens", "total", "sig", "rare"])
 
     rows = docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_tokens long, total double, sig long, rare long")
     rows = rows.join(_shared_entries(docs, words, counted), "sig", "left")
