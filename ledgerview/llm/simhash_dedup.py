@@ -158,13 +158,17 @@ def shards(rows: DataFrame, scheme: tuple[int, int], value: str, ident: str) ->
     return split_hot(rows.select("*", F.explode(F.array(*keys)).alias("key")), ident)
 
 
-def split_hot(rows: DataFrame, ident: str) -> DataFrame:
+def hot_keys(some: DataFrame, share: int) -> DataFrame:
+    """key, parts for keys of more than HOT rows, counted on one of `share` rows: a key's size only decides how its rows are dealt, never what is compared."""
+    few = some.groupBy("key").count()
+    return cut(few.filter(F.col("count") * share > HOT).select("key", F.ceil(F.col("count") * share / PART).cast("int").alias("parts")), "hot-shards")
+
+
+def split_hot(rows: DataFrame, ident: str, hot: DataFrame | None = None) -> DataFrame:
     """rows with `shard` in place of `key`: keys of many rows are cut, and each pair of parts is a shard."""
     names = [c for c in rows.columns if c != "key"]
-    # a key's size only decides how its rows are dealt, never what is compared, so a sample of the rows tells it
-    few = rows.filter(F.pmod(F.xxhash64(ident), F.lit(SAMPLE)) == 0).groupBy("key").count()
-    hot = few.filter(F.col("count") * SAMPLE > HOT).select("key", F.ceil(F.col("count") * SAMPLE / PART).cast("int").alias("parts"))
-    hot = cut(hot, "hot-shards")
+    if hot is None:
+        hot = hot_keys(rows.filter(F.pmod(F.xxhash64(ident), F.lit(SAMPLE)) == 0), SAMPLE)
     if hot.count() <= MOST_HOT:
         hot = F.broadcast(hot)
     rows = rows.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64(ident), F.col("parts")).cast("int"))
