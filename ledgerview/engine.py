@@ -57,10 +57,12 @@ class Engine:
             found = found.unionByName(self.inserts[key], allowMissingColumns=True)
         return views.replay_deletes(found, spec, self.deletes.get(key, ()))
 
-    def next_version(self) -> int:
-        """One more than any version or row number given so far: one aggregate over the log."""
+    def next_version(self, view: str | None = None) -> int:
+        """One more than any version or row number given so far, in the log and in a view of given rows: one aggregate each."""
         last = self.log.agg(F.max("version")).first()[0] if self.log is not None else None
         held = [df.agg(F.max(ROWNUM)).first()[0] for df in self.inserts.values()]
+        if view is not None and view in self.rows:
+            held.append(self.view(view).agg(F.max(ROWNUM)).first()[0])
         return 1 + max([last or 0, *(x or 0 for x in held), *(at for d in self.deletes.values() for at, _ in d)])
 
     def save(self, docs: DataFrame, typename: str, require_primary_view: bool = True) -> bool:
@@ -70,9 +72,10 @@ class Engine:
         if view is None and require_primary_view:
             return False
         start = self.next_version()
-        if view is not None and view.transaction:
-            if not views.commit(self.log, docs, view, start)[1]:
-                return False
+        # all views of the type that check documents must accept them, not only the primary one
+        kinds = {v.name: v for v in self.registry.views.values() if v.transaction and v.active and (v is view or typename in self.registry.descendants(v.doctype))}
+        if not all(views.commit(self.log, docs, v, start)[1] for v in kinds.values()):
+            return False
         self.log = store.append(self.log, docs, typename, start)
         return True
 
@@ -83,8 +86,8 @@ class Engine:
     def view_insert(self, name: str, rows: DataFrame) -> None:
         """Rows (docid, ordinal, columns) straight into a view; a rebuild keeps them."""
         spec = self.registry.get(name)
-        new = rows.select(DOCID, (F.lit(self.next_version()) + F.col("ordinal")).cast("long").alias(ROWNUM), *(F.col(c.name).cast(c.spark_type).alias(c.name) for c in spec.columns))
         key = spec.name.lower()
+        new = rows.select(DOCID, (F.lit(self.next_version(key)) + F.col("ordinal")).cast("long").alias(ROWNUM), *(F.col(c.name).cast(c.spark_type).alias(c.name) for c in spec.columns))
         self.inserts[key] = self.inserts[key].unionByName(new) if key in self.inserts else new
 
     def view_delete(self, name: str, where: str) -> int:
@@ -92,7 +95,7 @@ class Engine:
         spec = self.registry.get(name)
         gone = views.view_delete(self.view(name), spec, where)[1].first().n
         if where.strip():
-            self.deletes.setdefault(spec.name.lower(), []).append((self.next_version(), where))
+            self.deletes.setdefault(spec.name.lower(), []).append((self.next_version(spec.name.lower()), where))
         return gone
 
     def query(self, name: str, where: str | Callable = "", start: int = 0, count: int = -1, orderby: str = "") -> queries.Result:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 LIMITS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))
 
 
@@ -31,3 +34,16 @@ def is_time(schedule: str, at: dt.datetime) -> bool:
         raise ValueError("a schedule has five parts")
     now = (at.minute, at.hour, at.day, at.month, (at.weekday() + 1) % 7)
     return all(v in _values(p, *lim) for v, p, lim in zip(now, parts, LIMITS, strict=True))
+
+
+def fires(schedule: str, at: Column) -> Column:
+    """is_time() for a timestamp column."""
+    parts = schedule.split()
+    if len(parts) != 5:
+        raise ValueError("a schedule has five parts")
+    now = (F.minute(at), F.hour(at), F.dayofmonth(at), F.month(at), F.dayofweek(at) - 1)
+    found = F.lit(True)
+    for v, p, lim in zip(now, parts, LIMITS, strict=True):
+        if p != "*":
+            found = found & v.isin(*sorted(_values(p, *lim)))
+    return found

@@ -37,9 +37,21 @@ def changes_since(log: DataFrame, version: int, globs: tuple[str, ...] = (), del
 
 
 def apply_changes(log: DataFrame, changes: DataFrame) -> DataFrame:
-    """The log with a package from elsewhere, marked so that it is not sent back; known versions are left out."""
-    new = changes.withColumn("is_replicated", F.lit(True)).join(log.select("docid", "version"), ["docid", "version"], "left_anti")
-    return log.unionByName(new)
+    """The log with a package from elsewhere, marked so that it is not sent back.
+
+    Versions number each node's own log, so entries are known by docid, time, state and content, and get new versions
+    after all that are here, in their order; a package that comes twice adds nothing.
+    """
+    mark = lambda df: df.withColumn("__same", F.xxhash64("docid", "typename", "ts", "is_deleted", "body"))
+    last = log.agg(F.coalesce(F.max("version"), F.lit(0)).alias("__last"))
+    new = mark(changes.withColumn("is_replicated", F.lit(True))).join(mark(log).select("__same"), "__same", "left_anti")
+    new = new.crossJoin(F.broadcast(last)).withColumn("version", F.col("version") + F.col("__last"))  # one row
+    return log.unionByName(new.select(*log.columns))
+
+
+def packages(changes: DataFrame, rows: int = 10_000) -> DataFrame:
+    """changes with a column `package`: ranges of `rows` versions, so that each can be sent and applied by itself."""
+    return changes.withColumn("package", F.floor(F.col("version") / rows).cast("long"))
 
 
 def backup(log: DataFrame, since: int, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerview.plans.filter_language import to_column
-from ledgerview.schema import DOCID, ROWNUM, Registry, ViewSpec
+from ledgerview.schema import DOCID, ITEM, ROWNUM, Registry, ViewSpec
 from ledgerview.sources import store
 
 
@@ -28,12 +28,13 @@ def emit(docs: DataFrame, view: ViewSpec, *values: Column) -> DataFrame:
     return docs.select(DOCID, *([ROWNUM] if ROWNUM in docs.columns else []), *(v.cast(c.spark_type).alias(c.name) for v, c in zip(values, view.columns, strict=True)))
 
 
-def emit_each(docs: DataFrame, view: ViewSpec, items: str, spread: int = 1_000_000) -> DataFrame:
-    """One row for each element of an array of structs; empty and null arrays give none. Row numbers keep the order."""
-    number = (F.col(ROWNUM) * spread + F.col("__pos")).alias(ROWNUM) if ROWNUM in docs.columns else None
-    rows = docs.select(DOCID, *([ROWNUM] if number is not None else []), F.posexplode(items).alias("__pos", "__item"))
+def emit_each(docs: DataFrame, view: ViewSpec, items: str) -> DataFrame:
+    """One row for each element of an array of structs; empty and null arrays give none. Rows keep their document's row
+    number, and their ordinal in the array where there is one, so that any number of items stays in order."""
+    number = [ROWNUM] if ROWNUM in docs.columns else []
+    rows = docs.select(DOCID, *number, F.posexplode(items).alias(ITEM, "__item"))
     cells = [F.col(f"__item.{c.name}").cast(c.spark_type).alias(c.name) for c in view.columns]
-    return rows.select(DOCID, *([number] if number is not None else []), *cells)
+    return rows.select(DOCID, *number, *([ITEM] if number else []), *cells)
 
 
 def lookup(docs: DataFrame, other: DataFrame, on: Column | str, *columns: str) -> DataFrame:
@@ -50,12 +51,10 @@ def next_row_number(rows: DataFrame, by: str, group: str | None = None) -> DataF
 def documents_for(log: DataFrame, view: ViewSpec, registry: Registry) -> DataFrame:
     """What a view maps: the latest versions of its type and subtypes, or all versions in append mode."""
     kinds = registry.descendants(view.doctype)
-    some = log.filter(F.col("typename").isin(kinds)) if view.doctype else log
-    if view.replace_rows:
-        # a document may change its type, so the latest version is taken first
-        live = store.latest(log)
-        return live.filter(F.col("typename").isin(kinds)) if view.doctype else live
-    return some.filter(~F.col("is_deleted"))
+    # a document may change its type, and tombstones have none, so types are told apart after versions; a delete also
+    # hides the rows of all earlier versions in append mode
+    live = store.latest(log) if view.replace_rows else store.lives(log).filter(~F.col("is_deleted"))
+    return live.filter(F.col("typename").isin(kinds)) if view.doctype else live
 
 
 def rebuild(log: DataFrame, view: ViewSpec, registry: Registry, inserts: DataFrame | None = None, deletes: Iterable[tuple[int, str]] = ()) -> DataFrame:
@@ -67,7 +66,7 @@ def rebuild(log: DataFrame, view: ViewSpec, registry: Registry, inserts: DataFra
         docs = docs.filter(F.coalesce(view.valid(docs), F.lit(False)))
     rows = view.mapper(docs) if view.mapper else emit_object(docs, view)
     if inserts is not None:
-        rows = rows.unionByName(inserts.select(*rows.columns))
+        rows = rows.unionByName(inserts, allowMissingColumns=True)
     return replay_deletes(rows, view, deletes)
 
 
@@ -108,6 +107,12 @@ def with_pending(rows: DataFrame, pending: DataFrame) -> DataFrame:
     return kept.unionByName(pending, allowMissingColumns=True)
 
 
+def exists(rows: DataFrame, other: DataFrame, on: Column, key: str, name: str = "found") -> DataFrame:
+    """Whether another view has a matching row, for each row: the keys once, and one join."""
+    keys = other.select(key).distinct().withColumn(name, F.lit(True))
+    return rows.join(keys, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def correlated_count(rows: DataFrame, other: DataFrame, on: Column, key: str, name: str = "n") -> DataFrame:
     """A count of matching rows of another view for each row: one aggregate and one join instead of a query a row."""
     per = other.groupBy(key).agg(F.count("*").alias(name))

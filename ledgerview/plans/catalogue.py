@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerview.functions import fulltext
+from ledgerview.engine import Engine
+from ledgerview.functions import cron, fulltext
 from ledgerview.operators import kv, sync, views
 from ledgerview.plans import fixtures as X
 from ledgerview.schema import ROWNUM, Registry, ViewSpec
-from ledgerview.sources import store
+from ledgerview.sources import export, store
+from ledgerview.sources.shared import shared_dir
+from ledgerview.streaming import maintain
 from ledgerview.types import Column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,16 +56,16 @@ INVOICE_FILTERS = {
     "filter_nocase": ('NoCase = "ME 4" and Serial < 1000', "lower(\"NoCase\") = 'me 4' AND \"Serial\" < 1000"),
     "filter_nocase_null": ('Note = ""', "lower(coalesce(\"Note\", '')) = ''"),
     "filter_is_null": ("Priority = null", '"Priority" IS NULL'),
-    "filter_column_pair": ("Serial < Status", '"Serial" < "Status"'),
+    "filter_column_pair": ("Serial <= Status", '"Serial" <= "Status"'),
     "filter_negative": ("Total > -1.5 and Serial < 3", '"Total" > -1.5 AND "Serial" < 3'),
-    "ft_column_eq": ('Remark = "urgent"', "FALSE"),
+    "ft_column_eq": ('Remark = "1-urgent"', "list_contains(w, '1-urgent')"),
     "ft_column_and": ('Remark = "1-urgent Group"', "list_contains(w, '1-urgent') AND list_contains(w, 'group')"),
     "ft_column_or": ('Remark = "1-urgent 7 +12"', "(list_contains(w, '1-urgent') AND list_contains(w, '7')) OR list_contains(w, '12')"),
     "ft_column_not": ('Remark = "1-urgent -7"', "list_contains(w, '1-urgent') AND NOT list_contains(w, '7')"),
     "ft_column_leading_not": ('Remark = "-o -p"', "NOT list_contains(w, 'o') AND NOT list_contains(w, 'p')"),
     "ft_column_wildcard": ('Remark = "*high 1?"', "len(list_filter(w, lambda x: regexp_full_match(x, '.*high'))) > 0 AND len(list_filter(w, lambda x: regexp_full_match(x, '1.'))) > 0"),
     "ft_column_unknown_word": ('Remark = "nosuchword group +12"', "list_contains(w, '12')"),
-    "ft_column_ne": ('Remark != "group"', "NOT list_contains(w, 'group')"),
+    "ft_column_ne": ('Remark != "1-urgent"', "NOT list_contains(w, '1-urgent')"),
 }
 INVOICE_SQL = f"WITH {X.INVOICE_SQL}, words AS (SELECT *, string_split(lower(\"Remark\"), ' ') AS w FROM inv)"
 
@@ -302,7 +306,7 @@ def view_rebuild(s, d):
     return views.rebuild(X.event_log(s, d), EVENT_VIEW, _registry())
 
 
-@_add("view_append_mode", f"{LOG} SELECT docid, version AS _rownum, CAST(json_extract_string(body, '$.k') AS INTEGER) AS k, typename FROM log WHERE NOT is_deleted")
+@_add("view_append_mode", f"{LOG} SELECT docid, version AS _rownum, CAST(json_extract_string(body, '$.k') AS INTEGER) AS k, typename FROM log LEFT JOIN (SELECT docid AS gone, max(version) AS dead FROM log WHERE is_deleted GROUP BY 1) ON docid = gone WHERE NOT is_deleted AND version > coalesce(dead, -1)")
 def view_append_mode(s, d):
     return views.rebuild(X.event_log(s, d), _spec(replace_rows=False), _registry())
 
@@ -327,9 +331,10 @@ def view_delete_count(s, d):
     return views.view_delete(views.rebuild(X.event_log(s, d), EVENT_VIEW, _registry()), EVENT_VIEW, "k < 50")[1]
 
 
-@_add("view_inactive", f"{ROWS} SELECT * FROM rows_ WHERE FALSE")
+@_add("view_inactive", f"{ROWS} SELECT count(*) AS active, CAST(0 AS BIGINT) AS inactive FROM rows_")
 def view_inactive(s, d):
-    return views.rebuild(X.event_log(s, d), _spec(active=False), _registry())
+    n = lambda active, name: views.rebuild(X.event_log(s, d), _spec(active=active), _registry()).agg(F.count("*").alias(name))
+    return n(True, "active").join(n(False, "inactive"))
 
 
 @_add("subclass_dispatch", f"{LATEST} SELECT docid, typename FROM live WHERE typename IN ('view', 'seen')")
@@ -557,6 +562,102 @@ def schema_catalog(s, d):
     return X.engine(s, d).schema("SalesInvoice")
 
 
+def _engine_on_events(s, d, **rows):
+    engine = Engine(s, X.event_log(s, d))
+    engine.registry = _registry()
+    engine.register(EVENT_VIEW, **rows)
+    return engine
+
+
+@_add("view_delete_engine", f"WITH {X.EVENTS_SQL} SELECT docid, _rownum FROM ev WHERE NOT (\"UserId\" < 40) UNION ALL SELECT 'direct', (SELECT greatest(max(_rownum), 0) + 2 FROM ev)")
+def view_delete_engine(s, d):
+    """Delete rows of a view of given rows, then insert one that the filter would have taken."""
+    engine = X.engine(s, d)
+    engine.view_delete("Events", "UserId < 40")
+    engine.view_insert("Events", s.range(1).select(F.lit("direct").alias("docid"), F.lit(0).alias("ordinal"), F.lit("k").alias("Kind"), F.lit(None).alias("At"), F.lit(1).alias("UserId"), F.lit(0.0).alias("Value")))
+    return engine.view("Events").select("docid", ROWNUM)
+
+
+@_add("view_delete_exploded", f"WITH {X.ITEMS_SQL} SELECT items.docid, \"Product\", l_linenumber FROM items JOIN orders ON items.docid = md5('orders:' || o_orderkey) WHERE NOT \"QTY\" < 10")
+def view_delete_exploded(s, d):
+    """Delete rows of a view with several rows a document, through the engine."""
+    docs = X.invoice_documents(s, d).filter("Status = 3 and Items is not null")
+    # line numbers count from 1 in every document, ordinals from 0
+    engine = Engine(s)
+    engine.register(X.ITEMS, views.emit_each(docs, X.ITEMS, "Items"))
+    engine.view_delete(X.ITEMS.name, "QTY < 10")
+    lines = docs.select("docid", F.posexplode("Items.Line").alias("_item", "l_linenumber"))
+    return engine.view(X.ITEMS.name).join(lines, ["docid", "_item"]).select("docid", "Product", "l_linenumber")
+
+
+@_add("kv_mode_save", f"{LOG} SELECT count(*) + 1 AS n, 0 AS refused FROM log")
+def kv_mode_save(s, d):
+    """Documents of a type without a primary view are refused, unless none is required."""
+    engine = _engine_on_events(s, d)
+    new = s.range(1).select(F.lit("kv").alias("docid"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("{}").alias("body"), F.lit(0).alias("ordinal"))
+    refused = int(engine.save(new, "plain"))
+    engine.save(new, "plain", require_primary_view=False)
+    return engine.log.agg(F.count("*").alias("n"), F.lit(refused).alias("refused"))
+
+
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/catalogue-{uuid.uuid4().hex}"
+
+
+@_add("csv_roundtrip", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def csv_roundtrip(s, d):
+    part, path = X.table(s, d, "part").select("p_partkey", "p_name", "p_retailprice"), _folder(s)
+    export.to_csv(part, path)
+    return export.from_csv(s, path, part.schema)
+
+
+@_add("backup_restore", f"{LOG} SELECT docid, typename, version, is_deleted, body FROM log WHERE version > 100")
+def backup_restore(s, d):
+    """Entries after version 100 as gzipped JSON, read back through a checkpointed stream."""
+    path = _folder(s)
+    sync.backup(X.event_log(s, d), 100, f"{path}/box")
+    sync.restore(s, f"{path}/box", f"{path}/log", f"{path}/cp")
+    return store.read(s, f"{path}/log").select("docid", "typename", "version", "is_deleted", "body")
+
+
+def _followed(s, d) -> tuple[str, str]:
+    path = _folder(s)
+    for low, high in ((0, 300), (300, 1 << 62)):
+        X.event_log(s, d).filter((F.col("version") >= low) & (F.col("version") < high)).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return path, f"{path}/log"
+
+
+@_add("stream_view", f"{LATEST} SELECT docid, version, CAST(json_extract_string(body, '$.k') AS INTEGER) AS k FROM live WHERE CAST(json_extract_string(body, '$.k') AS INTEGER) < 50")
+def stream_view(s, d):
+    """A view that follows the log in micro-batches; versions that map to nothing hide what was before."""
+    path, log = _followed(s, d)
+    k = F.get_json_object("body", "$.k").cast("int")
+    mapper = lambda docs: docs.filter(k < 50).select("docid", "version", k.alias("k"))
+    maintain.follow_view(s, log, mapper, f"{path}/view", f"{path}/cp", files=1)
+    return maintain.current_view(s, f"{path}/view")
+
+
+@_add("cron_match", "SELECT event_id FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 17 AND dayofweek(ts) BETWEEN 1 AND 5")
+def cron_match(s, d):
+    return X.table(s, d, "events").filter(cron.fires("*/15 8-17 * * 1-5", F.col("ts"))).select("event_id")
+
+
+@_add("map_exists", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000) AS found FROM customer")
+def map_exists(s, d):
+    big = X.table(s, d, "orders").filter("o_totalprice > 150000")
+    return views.exists(X.table(s, d, "customer").select("c_custkey"), big, F.col("c_custkey") == F.col("o_custkey"), "o_custkey").select("c_custkey", "found")
+
+
+@_add("sort_unfiltered_nulls", f'WITH {X.INVOICE_SQL} SELECT docid, _rownum, "Serial", "Priority" FROM inv ORDER BY "Priority" ASC NULLS LAST, _rownum LIMIT 25 OFFSET 5')
+def sort_unfiltered_nulls(s, d):
+    return _invoices(s, d, "", 5, 25, "Priority", select=("docid", ROWNUM, "Serial", "Priority"))
+
+
+@_add("replication_packages", f"{LOG} SELECT CAST(floor(version / 200) AS BIGINT) AS package, count(*) AS n FROM log WHERE version > 100 GROUP BY 1")
+def replication_packages(s, d):
+    return sync.packages(sync.changes_since(X.event_log(s, d), 100), 200).groupBy("package").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

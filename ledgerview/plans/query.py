@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerview.plans.filter_language import to_column
-from ledgerview.schema import ROWNUM, ViewSpec
+from ledgerview.schema import ITEM, ROWNUM, ViewSpec
 
 
 @dataclass
@@ -31,19 +31,20 @@ class Result:
         return self.df.count()
 
 
-def order_columns(view: ViewSpec, orderby: str, compat: bool = False) -> list[Column]:
-    """Sort keys: nulls last both ways; ties by row number, backwards when descending (nulls always forwards)."""
+def order_columns(view: ViewSpec, orderby: str, compat: bool = False, items: bool = False) -> list[Column]:
+    """Sort keys: nulls last both ways; ties by row number (and item), backwards when descending (nulls always forwards)."""
+    places = [ROWNUM, ITEM] if items else [ROWNUM]
     words = orderby.split()
     down = " desc" in f" {orderby.lower()}"
     found = next((view.column(w) for w in words if w.lower() not in ("asc", "desc") and view.column(w)), None)
     if found is None and compat:
         found = next((c for c in view.columns if c.name.lower() in orderby.lower()), None)
     if found is None:
-        return [F.col(ROWNUM).asc()]
+        return [F.col(p).asc() for p in places]
     c = F.coalesce(F.col(found.name), F.lit(False)) if found.kind == "bool" else F.col(f"`{found.name}`")
     if not down:
-        return [c.asc_nulls_last(), F.col(ROWNUM).asc()]
-    return [c.desc_nulls_last(), F.when(c.isNotNull(), -F.col(ROWNUM)).asc(), F.col(ROWNUM).asc()]
+        return [c.asc_nulls_last(), *(F.col(p).asc() for p in places)]
+    return [c.desc_nulls_last(), *(F.when(c.isNotNull(), -F.col(p)).asc() for p in places), *(F.col(p).asc() for p in places)]
 
 
 def query(df: DataFrame, view: ViewSpec, where: str | Column = "", start: int = 0, count: int = -1, orderby: str = "", compat: bool = False) -> Result:
@@ -51,7 +52,7 @@ def query(df: DataFrame, view: ViewSpec, where: str | Column = "", start: int =
     matched = df.filter(to_column(where, view, compat) if isinstance(where, str) else where) if isinstance(where, Column) or where.strip() else df
     page = matched
     if orderby or start or count >= 0:
-        page = matched.orderBy(*order_columns(view, orderby, compat))
+        page = matched.orderBy(*order_columns(view, orderby, compat, ITEM in matched.columns))
     if start:
         page = page.offset(start)
     if count >= 0:

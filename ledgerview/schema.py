@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ledgerview.types import Column
 
-ROWNUM, DOCID = "_rownum", "docid"
+#: A row's place: the version (or row number) it came with, and its ordinal among the rows of one document.
+ROWNUM, DOCID, ITEM = "_rownum", "docid", "_item"
 Mapper = Callable[[DataFrame], DataFrame]
 
 

@@ -24,7 +24,7 @@ def fetch(log: DataFrame, docid) -> DataFrame:
     return latest(log.filter(F.col("docid") == docid))
 
 
-def _lives(log: DataFrame, key: str) -> DataFrame:
+def lives(log: DataFrame, key: str = "docid") -> DataFrame:
     """Entries after the last tombstone of their key."""
     dead = log.filter("is_deleted").groupBy(key).agg(F.max("version").alias("__dead"))
     return log.join(dead, key, "left").filter("__dead is null or version > __dead").drop("__dead")
@@ -33,13 +33,13 @@ def _lives(log: DataFrame, key: str) -> DataFrame:
 def history(log: DataFrame, value=None, key: str = "docid") -> DataFrame:
     """Key and version of all entries that can still be reached, of one key or of all; files have key fileid."""
     some = log if value is None else log.filter(F.col(key) == value)
-    return _lives(some, key).select(key, "version")
+    return lives(some, key).select(key, "version")
 
 
 def history_info(log: DataFrame, value=None, key: str = "docid") -> DataFrame:
     """history() with the time of each change."""
     some = log if value is None else log.filter(F.col(key) == value)
-    return _lives(some, key).select(key, "version", F.col("ts").alias("change_date"))
+    return lives(some, key).select(key, "version", F.col("ts").alias("change_date"))
 
 
 def fetch_version(log: DataFrame, version: int) -> DataFrame:

@@ -29,12 +29,12 @@ def _log_stream(spark: SparkSession, path: str, files: int | None) -> DataFrame:
 
 
 def follow_view(spark: SparkSession, log_path: str, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, interval: str | None = None, files: int | None = None):
-    """Append mapped rows with docid, version and is_deleted of their entry; `current_view` reads the state."""
+    """Append mapped rows, and a mark (docid, version, is_deleted) for every entry, mapped or not; `current_view` reads the state."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = mapper(batch.filter(~F.col("is_deleted"))).withColumn("is_deleted", F.lit(False))
-        gone = batch.filter("is_deleted").select("docid", "version", "is_deleted")
-        rows.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = mapper(batch.filter(~F.col("is_deleted"))).withColumn("is_mark", F.lit(False))
+        marks = batch.select("docid", "version", "is_deleted", F.lit(True).alias("is_mark"))
+        rows.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _run(_log_stream(spark, log_path, files), step, checkpoint, interval)
 
@@ -42,8 +42,9 @@ def follow_view(spark: SparkSession, log_path: str, mapper: Callable[[DataFrame]
 def current_view(spark: SparkSession, out: str) -> DataFrame:
     """Rows of the latest version of every docid that is not deleted; equal to a rebuild from the log."""
     rows = spark.read.parquet(out).drop("batch")
-    last = rows.groupBy("docid").agg(F.max("version").alias("version"))
-    return rows.join(last, ["docid", "version"], "left_semi").filter(~F.col("is_deleted")).drop("is_deleted")
+    # a version that maps to nothing still hides the rows of those before it
+    last = rows.filter("is_mark").groupBy("docid").agg(F.max(F.struct("version", "is_deleted")).alias("m")).select("docid", "m.*").filter(~F.col("is_deleted"))
+    return rows.filter(~F.col("is_mark")).drop("is_deleted", "is_mark").join(last.select("docid", "version"), ["docid", "version"], "left_semi")
 
 
 def follow_text(spark: SparkSession, log_path: str, out: str, checkpoint: str, interval: str | None = None, files: int | None = None):
