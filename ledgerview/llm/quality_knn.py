@@ -1,16 +1,19 @@
 """Quality classifier: similarity-weighted votes of the nearest labelled neighbours in a latent semantic space.
 
-Terms of a text are the shapes of its words (runs of lower case, upper case, digits and marks), pairs of neighbouring
-shapes, and repetitions of a word within the last REPEATS words; they tell prose from shouting, markup, menus and stutter in any
-language. They are hashed into TERMS buckets and weighted by TF-IDF; document frequencies are counted over the whole corpus.
+Terms of a text are its words, and beside them their shapes (runs of lower case, upper case, digits and marks), pairs of
+neighbouring shapes, and repetitions of a word within the last REPEATS words; words carry the content, the others tell
+prose from shouting, markup, menus and stutter in any language. Both kinds are hashed, each into its own half of TERMS
+buckets, and weighted by TF-IDF; document frequencies are counted over the whole corpus. A text without any word has one
+term of its own, so that empty texts are judged by their labels as well.
 
 A bounded sample of labelled documents (at most MOST_LABELLED, in the order of a hash of their id) gives the singular
 vectors of the space and the labelled vectors, which are broadcast: at most MOST_LABELLED x RANK numbers. Every whole
 document is projected, compared with all of them by exact blocked cosine products, and scored by the labels of its
-NEIGHBOURS nearest, weighted by similarity.
+NEIGHBOURS nearest, weighted by similarity (negative ones count nothing). Of equally near ones the first in doc_id order
+count, at a precision of DIGITS digits, so that rounding decides nothing.
 
-Defined cases: a null text is empty; a text without words has score 0. Labels come from rows with a known label only;
-several labels of one id count as their rounded mean. Without any labelled document every text with a word scores 0.5.
+Defined cases: a null text is empty. Labels come from rows with a known label only;
+several labels of one id count as their rounded mean. Without any labelled document, or with no similar one, a text scores 0.5.
 Repeated rows keep their rows. Only doc_id and text of the documents are read.
 """
 
@@ -27,8 +30,10 @@ from ledgerview.llm import textbuf
 from ledgerview.llm.common import prepare
 
 TERMS, RANK, REPEATS = 4096, 48, 3
-MOST_LABELLED, NEIGHBOURS, BLOCK = 6000, 25, 2048
-SEED = 5
+MOST_LABELLED, NEIGHBOURS, BLOCK = 6000, 25, 512
+SEED, DIGITS = 5, 4
+#: The term of texts without words.
+EMPTY = TERMS - 1
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58] = 48
 _SHAPE[65:91] = 65
@@ -58,7 +63,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         again = same & (words[back:] == words[:-back])
         terms.append(np.full(int(again.sum()), back, np.uint64))
         owners.append(doc[back:][again])
-    cell = np.concatenate(owners) * TERMS + (textbuf.mix(np.concatenate(terms)) % np.uint64(TERMS)).astype(np.int64)
+    half = np.uint64(TERMS // 2)
+    shape_cell = np.concatenate(owners) * TERMS + (textbuf.mix(np.concatenate(terms)) % (half - np.uint64(1))).astype(np.int64) + TERMS // 2
+    none = np.flatnonzero(np.diff(first) == 0) * TERMS + EMPTY
+    cell = np.concatenate([shape_cell, doc * TERMS + (textbuf.mix(words + np.uint64(1)) % half).astype(np.int64), none])
     cell, count = np.unique(cell, return_counts=True)
     return cell // TERMS, cell % TERMS, count
 
@@ -122,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict[s
     rows = sample(docs, labels, most).mapInArrow(describe, "doc_id long, bucket array<long>, count array<long>, label int").collect()  # bounded by `most`
     if not rows:
         return {"idf": idf, "space": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32)}
-    rows.sort(key=lambda r: r[0])
+    rows.sort(key=lambda r: (r[0], r[3], list(r[1])))
     text = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     bucket, count = (np.concatenate([np.array(r[k], np.int64) for r in rows]) for k in (1, 2))
     x = _vectors(text, bucket, count, idf, None, len(rows))
@@ -140,8 +148,10 @@ def votes(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, neighbours: in
     k = min(neighbours, len(labels))
     for lo in range(0, len(z) if k else 0, BLOCK):
         product = z[lo : lo + BLOCK] @ vectors.T
-        near = np.argpartition(-product, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(product, near, axis=1), 0).astype(np.float64) ** 4
+        # similarity first, then place in the sample's order
+        rank = np.round(product.astype(np.float64) * 10**DIGITS) * len(labels) - np.arange(len(labels))
+        near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+        weight = np.round(np.maximum(np.take_along_axis(product, near, axis=1), 0).astype(np.float64), DIGITS)
         total = weight.sum(axis=1)
         out[lo : lo + BLOCK] = np.where(total > 0, (weight * labels[near]).sum(axis=1) / np.maximum(total, 1e-12), 0.5)
     return np.clip(out, 0, 1)
@@ -158,7 +168,6 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for lo, hi, (text, bucket, count) in _slices(batch):
                 z = _vectors(text, bucket, count, held["idf"], held["space"], hi - lo)
                 s = votes(z, held["vectors"], held["labels"])
-                s[np.bincount(text, minlength=hi - lo) == 0] = 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(s)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double")

@@ -67,8 +67,13 @@ def test_quality_votes(spark, odd, none):
     assert len(asked) > 80 and all((score[k] >= 0.5) == (k % 2 == 1) for k in asked)
     assert len(quality_knn.fit(docs, known, 50)["labels"]) == 50
     got = {r.doc_id: r.score for r in quality_knn.score(odd, model).collect()}
-    assert got[0] == got[1] == got[2] == 0 and all(0 <= s <= 1 for s in got.values()) and got[5] == got[6]
+    assert got[0] == got[1] == got[2] == 0.5 and all(0 <= s <= 1 for s in got.values()) and got[5] == got[6]
     assert quality_knn.score(none, model).count() == 0
+    # texts without words are judged by labels as all others are
+    more = documents(spark, [*texts, *[""] * 9, *[None] * 9])
+    marked = more.select("doc_id", F.when(F.col("doc_id") >= 400, 1).otherwise(F.col("doc_id") % 2).cast("int").alias("label"))
+    got = {r.doc_id: r.score for r in quality_knn.score(odd, quality_knn.fit(more, marked)).collect()}
+    assert got[0] == got[1] == got[2] > 0.9
     blank = quality_knn.fit(docs, labels.limit(0))
     assert set(r.score for r in quality_knn.score(docs, blank).collect()) == {0.5}
 
@@ -80,9 +85,12 @@ def test_votes_are_exact():
     got = quality_knn.votes(z, v, labels, 7)
     for k in range(50):
         s = v @ z[k]
-        near = np.argsort(-s)[:7]
-        w = np.maximum(s[near], 0) ** 4
-        assert np.isclose(got[k], (w * labels[near]).sum() / w.sum())
+        near = sorted(range(300), key=lambda i: (-round(s[i] * 10**quality_knn.DIGITS), i))[:7]
+        w = np.maximum(s[near], 0)
+        assert np.isclose(got[k], (w * labels[near]).sum() / w.sum(), atol=1e-3)
+    # of equal neighbours the first ones count, in any order of the asked texts
+    same = quality_knn.votes(np.repeat(z[:1], 3, axis=0), np.repeat(v[:1], 40, axis=0) * np.sign(v[0] @ z[0]), np.repeat([1.0, 0.0], 20), 25)
+    assert np.allclose(same, 0.8)
 
 
 def test_pseudo_likelihood(spark, odd, none):
