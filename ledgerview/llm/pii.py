@@ -3,8 +3,11 @@
 E-mail names, IPv4 addresses, card numbers (Luhn), social security and phone numbers and calendar dates are found in
 one pass over the text, validated, and replaced by a keyed Feistel permutation of the values of their format: the
 same value becomes the same pseudonym in every document, no two values share one, and whoever has the key can go back
-(`reveal`). Letters stay letters of their case, digits digits, separators stay; a card keeps a right check digit, an
-address stays an address, a date stays a date of 1700 to 2099. Candidates that fail validation stay as they are.
+(`reveal`). Letters stay letters of their case and script block, digits digits, separators stay; a card keeps a right check
+digit, an address stays an address, a date stays a date of 1700 to 2099, a social security number a valid one (its
+permutation is walked until it comes to a valid number, so that it stays a permutation of these), a phone number keeps
+its + and the first digit behind it. Cards, phone and social security numbers are permuted as digits and get their separators back, so that all spellings of one number are
+linked. Candidates that fail validation stay as they are.
 
 Defined cases: a null text stays null with counts of 0; an empty text stays empty. Repeated rows are treated alike.
 All other columns stay; an input column that has the name of a count is replaced by the count.
@@ -16,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "change-this-key"
+#: The key of the registered query only; callers of pseudonymise() bring their own.
+QUERY_KEY = "key of the registered query"
+#: Most steps of a walk: fewer than one in eight of the numbers are not valid, so longer walks do not occur.
+WALK = 24
 KINDS = ("email", "ip", "date", "ssn", "card", "phone")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,20}"
@@ -30,7 +36,12 @@ ANY = "|".join((EMAIL, IP, DATE, SSN, CARD, PHONE))
 #: The 400-year cycle of dates has 189 x 773 days.
 FIRST_DAY, DAY_MODULI = "1700-01-01", (189, 773)
 #: Character classes that are permuted in themselves: first code point and size.
-CLASSES = ((48, 10), (97, 26), (65, 26), (0xE0, 23), (0xC0, 23))
+CLASSES = ((48, 10), (97, 26), (65, 26), (0xE0, 23), (0xC0, 23), (0x3B1, 17), (0x391, 17), (0x430, 32), (0x410, 32))
+
+
+def _let(x: Column, use) -> Column:
+    """use(x) with x computed once, however often and in whatever loop it is used."""
+    return F.get(F.transform(F.array(x), use), 0)
 
 
 def _rounds(a: Column, b: Column, mixed, back: bool) -> Column:
@@ -54,33 +65,61 @@ def permute_numbers(a: Column, b: Column, moduli: tuple[int, int], key: str, kin
     return _rounds(a.cast("long"), b.cast("long"), mixed, back)
 
 
+def _two_bytes(code: Column) -> Column:
+    """The character of a code point from 128 to 2047."""
+    lead, tail = F.lpad(F.hex(F.floor(code / 64).cast("int") + 0xC0), 2, "0"), F.lpad(F.hex(code % 64 + 0x80), 2, "0")
+    return F.decode(F.unhex(F.concat(lead, tail)), "UTF-8")
+
+
 def permute_text(text: Column, key: str, kind: str, back: bool = False) -> Column:
     """A permutation of all strings with the same classes of characters in the same places."""
 
     def mixed(part, other, r, which):
-        ks = _digest(key, kind, other, r)
-
-        def moved(k):
+        def moved(k, ks):
             c = F.substr(part, k, F.lit(1))
-            code = F.ascii(c)
+            code = F.ascii(c)  # the code point, also above ASCII
             add = F.conv(F.substr(ks, F.pmod(k - 1, F.lit(31)) * 2 + 1, F.lit(4)), 16, 10).cast("int")
             out = c
             for first, size in CLASSES:
                 now = F.pmod(code - first - add if back else code - first + add, F.lit(size)) + first
-                out = F.when((code >= first) & (code < first + size), F.char(now) if first < 128 else F.decode(F.concat(F.unhex(F.lit("C3")), F.unhex(F.hex(now - 0x40))), "UTF-8")).otherwise(out)
+                out = F.when((code >= first) & (code < first + size), F.char(now) if first < 128 else _two_bytes(now)).otherwise(out)
             return out
 
-        return F.when(F.length(part) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), moved), "")).otherwise(part)
+        every = lambda ks: F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), lambda k: moved(k, ks)), "")
+        return F.when(F.length(part) > 0, _let(_digest(key, kind, other, r), every)).otherwise(part)
 
     half = F.ceil(F.length(text) / 2).cast("int")
     s = _rounds(F.substr(text, F.lit(1), half), F.substr(text, half + 1, F.length(text)), mixed, back)
-    return F.concat(s["a"], s["b"])
+    return _let(s, lambda x: F.concat(x["a"], x["b"]))
 
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _respaced(text: Column, digits: Column) -> Column:
+    """text with its digits replaced by others, in order."""
+    return F.array_join(F.zip_with(F.split(text, "[0-9]", -1), F.split(digits, "(?<=[0-9])", -1), lambda a, b: F.concat(a, b)), "")
+
+
+def _ssn_valid(digits: Column) -> Column:
+    return ~digits.rlike(r"^(?:000|666|9)|^\d{3}00|0000$")
+
+
+def _ssn(text: Column, key: str, back: bool) -> Column:
+    """The next valid number of the permutation's cycle."""
+    step = lambda d: permute_text(d, key, "ssn", back)
+    walk = lambda d, i: F.when((i == 0) | ~_ssn_valid(d), step(d)).otherwise(d)
+    return _respaced(text, F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), _digits(text), walk))
+
+
+def _phone(text: Column, key: str, back: bool) -> Column:
+    """Digits but for the first one of the country code; national spellings of +1 numbers are linked to the international one."""
+    first = F.when(text.startswith("+"), F.lit(1)).otherwise(F.lit(0))
+    digits = lambda d: F.concat(F.substr(d, F.lit(1), first), _let(F.substr(d, first + 1, F.length(d)), lambda x: permute_text(x, key, "phone", back)))
+    return _respaced(text, _let(_digits(text), digits))
+
+
 def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     """Luhn's sum, doubling every second digit from the end; doubled_last: beginning with the last."""
     n = F.length(digits)
@@ -94,8 +133,8 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
 
 
 def _card(text: Column, key: str, back: bool) -> Column:
-    body = permute_text(F.substr(text, F.lit(1), F.length(text) - 1), key, "card", back)
-    return F.concat(body, ((_luhn_sum(_digits(body), True) * 9) % 10).cast("string"))
+    body = _let(_digits(text), lambda d: permute_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", back))
+    return _respaced(text, _let(body, lambda b: F.concat(b, ((_luhn_sum(b, True) * 9) % 10).cast("string"))))
 
 
 def _ip(text: Column, key: str, back: bool) -> Column:
@@ -123,15 +162,14 @@ def _date(text: Column, key: str, back: bool) -> Column:
 
 def kind_of(x: Column) -> Column:
     """The kind of a candidate that is valid, else null."""
-    digits = _digits(x)
     days = F.datediff(_day(x), F.lit(FIRST_DAY).cast("date"))
     return (
         F.when(x.contains("@"), F.lit("email"))
         .when(x.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), F.lit("ip"))
         .when(x.rlike(rf"^(?:{DATE})$"), F.when(days.between(0, DAY_MODULI[0] * DAY_MODULI[1] - 1), F.lit("date")))
-        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~x.rlike(r"^(000|666|9)|-00-|-0000$"), F.lit("ssn")))
-        .when(x.rlike(rf"^(?:{CARD})$"), F.when(_luhn_sum(digits, False) % 10 == 0, F.lit("card")))
-        .when(F.length(digits).between(7, 15), F.lit("phone"))
+        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(_ssn_valid(_digits(x)), F.lit("ssn")))
+        .when(x.rlike(rf"^(?:{CARD})$"), F.when(_let(_digits(x), lambda d: _luhn_sum(d, False)) % 10 == 0, F.lit("card")))
+        .when(F.length(_digits(x)).between(7, 15), F.lit("phone"))
     )
 
 
@@ -142,15 +180,17 @@ def _replaced(x: Column, kind: Column, key: str, back: bool) -> Column:
         F.when(kind == "email", email)
         .when(kind == "ip", _ip(x, key, back))
         .when(kind == "date", _date(x, key, back))
-        .when(kind == "ssn", permute_text(x, key, "ssn", back))
+        .when(kind == "ssn", _ssn(x, key, back))
         .when(kind == "card", _card(x, key, back))
-        .when(kind == "phone", permute_text(x, key, "phone", back))
+        .when(kind == "phone", _phone(x, key, back))
         .otherwise(x)
     )
 
 
-def pseudonymise(df: DataFrame, key: str = KEY, text: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
     """df with its text replaced, and n_<kind> counts of what was replaced."""
+    if not key:
+        raise ValueError("a key is required")
     t = F.col(text)
     out = df.withColumn("__found", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     out = out.withColumn("__found", F.when(F.size("__found") > 0, F.transform("__found", lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))))
@@ -169,4 +209,4 @@ def reveal(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY_KEY)

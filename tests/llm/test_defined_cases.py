@@ -21,7 +21,7 @@ def test_rows_stay_rows(spark, strange):
     assert token_counts.count_tokens(strange, "piece_bpe_32k.model").count() == n
     assert quality_rules.judge(strange).count() == n
     assert secret_scan.scan(strange).count() == n
-    assert pii.pseudonymise(strange).count() == n
+    assert pii.pseudonymise(strange, "k").count() == n
     assert line_dedup.dedup_lines(strange).count() == n
     found = simhash_dedup.near_duplicates(strange)
     assert found.count() == n and found.filter("component_id is null and doc_id is not null").count() == 0
@@ -51,7 +51,7 @@ def test_very_long_text(spark):
     assert {r.doc_id: r.n_words for r in quality_rules.judge(docs).collect()}[0] == 150_000
     assert token_counts.count_tokens(docs, "piece_bpe_32k.model").agg(F.min("n_tokens")).first()[0] > 0
     assert simhash_dedup.near_duplicates(docs).count() == 4 and line_dedup.dedup_lines(docs).count() == 4
-    assert {r.doc_id: r.n_email for r in pii.pseudonymise(docs).collect()}[1] == 3000
+    assert {r.doc_id: r.n_email for r in pii.pseudonymise(docs, "k").collect()}[1] == 3000
     assert {r.doc_id: r.n_assign for r in secret_scan.scan(docs).collect()}[3] == 1
     bench = spark.createDataFrame([(1, " ".join(long_.split()[70_000:70_060]))], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()] == [(0, 1)]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -89,7 +90,35 @@ def test_pseudonyms(spark, odd, none):
     assert all(back[k] == t for k, t in enumerate(texts))
     other = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k2").collect()}
     assert other[len(ODD)] != a.text and got[0].text is None and got[0].h == "kept"
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
+
+
+def test_numbers_stay_valid_linked_and_reversible(spark):
+    rnd = random.Random(4)
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    ssn, phone, mail = [], [], []
+    while len(ssn) < 1000:
+        a, b, c = number(3), number(2), number(4)
+        if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
+            ssn.append(f"{a}-{b}-{c}")
+    for _ in range(200):
+        a, b, c = number(3), number(3), number(4)
+        phone += [f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}"]
+        mail.append(f"{rnd.choice(['иван', 'Мария', 'λόγος', 'zoë'])}{number(3)}@mail.example.org")
+    texts = [*ssn, *phone, *mail]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    hidden = pii.pseudonymise(docs, "k").persist()
+    got = {r.doc_id: r for r in hidden.collect()}
+    assert {r.doc_id: r.text for r in pii.reveal(hidden, "k").collect()} == dict(enumerate(texts))
+    new = [got[k].text for k in range(len(ssn))]
+    assert len(set(new)) == len(set(ssn)) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in new)
+    for k in range(len(ssn), len(ssn) + len(phone), 3):
+        x = [re.sub(r"\D", "", got[k + j].text) for j in range(3)]
+        assert x[0] == "1" + x[1] and x[1] == x[2]
+    assert all(got[len(ssn) + len(phone) + k].text.split("@")[0] != x.split("@")[0] for k, x in enumerate(mail))
+    card = ["4929348385146306", "4929-3483-8514-6306", "4929 3483 8514 6306"]
+    x = [re.sub(r"\D", "", r.text) for r in pii.pseudonymise(spark.createDataFrame([(c,) for c in card], "text string"), "k").collect()]
+    assert len(set(x)) == 1 and x[0] != card[0]
 
 
 def test_permutations_have_no_collisions(spark):
@@ -102,6 +131,6 @@ def test_permutations_have_no_collisions(spark):
 
 
 def test_native_plans_have_no_python(spark, odd):
-    for df in (quality_rules.judge(odd), secret_scan.scan(odd), pii.pseudonymise(odd)):
+    for df in (quality_rules.judge(odd), secret_scan.scan(odd), pii.pseudonymise(odd, "k")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
