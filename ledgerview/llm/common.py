@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import re
-import shutil
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerview.sources.shared import shared_dir
+
 #: One word: a maximal run without ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -26,22 +24,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where none is set, on one machine (as in tests), a folder that goes at exit."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="ledgerview-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return the table: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
@@ -52,10 +34,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove a table that cut() wrote and that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "cut_path", None)
+def remove(spark: SparkSession, path: str | None) -> None:
+    """Delete a table in the shared folder, if there is one."""
     if path:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove a table that cut() wrote and that nothing reads any more."""
+    remove(df.sparkSession, getattr(df, "cut_path", None))

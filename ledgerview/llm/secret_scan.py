@@ -25,7 +25,7 @@ ASSIGN_LEAST = 6
 #: Weak kinds: (kind, class, pattern).
 WEAK = (
     ("ident", "identifier", r"(?i)\b(?:client_?id|account_?id|access_?id|user(?:name)?|login)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}|\b(?:AKIA|ASIA|AIza)[A-Za-z0-9]{4,15}\b|(?<![A-Za-z0-9+/_-])(?:ASIA[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9+/_=-])"),
-    ("mixed", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9a-z+/_-]{0,40}[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}"),
+    ("mixed", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}"),
     ("endpoint", "endpoint", r"\b(?:https?|ftp|jdbc:[a-z]+|amqp|redis|mongodb)://[^\x20\x09-\x0D\"'<>]{3,}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b"),
 )
 SCOPE = 200

@@ -221,6 +221,7 @@ class Transducer:
 
 
 _compiled: dict[str, Transducer] = {}
+_libraries: dict[str, object] = {}
 
 
 def transducer(path: str) -> Transducer:
@@ -229,6 +230,15 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
+def library_counts(path: str, texts: list[str]) -> list[int]:
+    """Tokens of each text as the library itself counts them."""
+    if path not in _libraries:
+        import sentencepiece
+
+        _libraries[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [len(x) for x in _libraries[path].encode(texts)]
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text); model: a file name of public_tokenizers."""
     prepare(docs.sparkSession)
@@ -241,7 +251,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
             text = textbuf.strings(batch.column(1))
             for lo, hi in textbuf.slices(text):
                 part = text.slice(lo, hi - lo)
-                n = pa.array(machine.counts(part), pa.int64())
+                try:
+                    n = pa.array(machine.counts(part), pa.int64())
+                except ValueError:  # a text without a unique segmentation: the library counts this slice
+                    n = pa.array(library_counts(public_tokenizers.path(model), part.to_pylist()), pa.int64())
                 size = pa.compute.binary_length(part).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), size, n], ["doc_id", "n_bytes", "n_tokens"])
 

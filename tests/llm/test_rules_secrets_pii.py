@@ -66,11 +66,40 @@ def test_long_parts_are_linked_in_both_orders(spark):
     assert got == {0: "endpoint:0:612,assign:613:627", 1: "assign:0:14,endpoint:15:627", 2: "assign:914:928"}
 
 
+def test_linking_equals_brute_force(spark):
+    """Parts of all lengths at all distances: a weak part is reported if a complementary one is nearer than SCOPE."""
+    rnd = random.Random(8)
+    make = {
+        "ident": lambda: "user=" + "".join(rnd.choice("klmn") for _ in range(rnd.randrange(3, 20))),
+        "mixed": lambda: "Q7" + "".join(rnd.choice("ghkmGHKM23/") for _ in range(rnd.randrange(31, 500))),
+        "endpoint": lambda: "https://h.y/" + "z" * rnd.randrange(0, 700),
+        "assign": lambda: "token=abcdefg" + "h" * rnd.randrange(0, 60),
+    }
+    cls = {"ident": "identifier", "mixed": "secret", "endpoint": "endpoint", "assign": "secret"}
+    need = {"identifier": {"secret"}, "secret": {"identifier", "endpoint"}, "endpoint": {"secret"}}
+    texts, want = [], []
+    for _ in range(120):
+        text, parts = "", []
+        for _ in range(rnd.randrange(1, 7)):
+            kind = rnd.choice(list(make))
+            text += " " + ". " * rnd.choice((1, 5, 60, 99, 100, 101, 150))
+            part = make[kind]()
+            parts.append((len(text), len(text) + len(part), kind))
+            text += part
+        texts.append(text)
+        far = lambda a, b: max(a[0] - b[1], b[0] - a[1])
+        kept = [p for p in parts if p[2] == "assign" or any(q is not p and cls[q[2]] in need[cls[p[2]]] and far(p, q) < secret_scan.SCOPE for q in parts)]
+        want.append(",".join(f"{k}:{a}:{b}" for a, b, k in kept))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(120)] == want
+
+
 def test_keys_of_real_length_are_identifiers(spark):
     asia, google, secret = "ASIA" + "Z7QX" * 4, "AIza" + "Sy1Bc" * 7, "Ab1/" * 10
-    texts = [f"{asia} {secret}", f"key={google} {secret}", google, asia]
+    late = "x" * 50 + "7" + "y" * 50 + "Q"
+    texts = [f"{asia} {secret}", f"key={google} {secret}", google, asia, f"{asia} {late}"]
     got = {r.doc_id: r.spans for r in secret_scan.scan(documents(spark, texts)).collect()}
-    assert got == {0: "ident:0:20,mixed:21:61", 1: "ident:4:43,mixed:44:84", 2: "", 3: ""}
+    assert got == {0: "ident:0:20,mixed:21:61", 1: "ident:4:43,mixed:44:84", 2: "", 3: "", 4: "ident:0:20,mixed:21:123"}
 
 
 def test_pseudonyms(spark, odd, none):
