@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from ledgerview.llm import decontaminate, line_dedup, packing, quality_rules, simhash_dedup
-from ledgerview.llm.common import prepare, shared_dir
+from ledgerview.llm.common import prepare, remove, shared_dir
 
 #: (name, function(spark, docs, sf_dir) -> DataFrame); each stage's result is written and read again by the next one.
 STAGES = [
@@ -25,9 +25,12 @@ def run(spark, sf_dir: str):
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            path = f"{base}/{k}-{name}"
+            docs.write.parquet(path)
+            remove(spark, before)  # nothing reads it any more
+            docs, before = spark.read.parquet(path), path
     return docs
