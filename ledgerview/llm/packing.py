@@ -1,12 +1,13 @@
 """Packing by cutting-stock column generation.
 
-Documents are tokenized once and cut into full sequences and a remainder of at most three pieces: half a sequence, a
-multiple of GRAIN tokens, and fewer than GRAIN; so a few lengths occur, and patterns of them can fill sequences. Only
-the histogram of lengths, under 100 numbers whatever the corpus, goes to the driver. There a linear
-program over patterns (multisets of lengths that fit a sequence) is solved by revised simplex; an unbounded knapsack
-dynamic program prices new patterns until the bound on what is left to gain is under GAP. Copies of patterns are
-rounded down and the few pieces left over are packed best-fit. Pieces get a rank within their length; the rank says
-which copy of which pattern, and which place in it, a piece takes.
+Documents are tokenized once. One that fits a sequence stays whole; only longer ones are cut, into full sequences and a
+remainder. A remainder, cut already, is cut on into half a sequence, a multiple of GRAIN tokens and fewer than GRAIN, which
+gives patterns their small parts. Only where whole documents cannot be combined with less than MOST_PADDING of
+padding (say, all a little over half a sequence) every document is cut like a remainder. The histogram of lengths, at most `capacity` numbers whatever the corpus, goes to
+the driver. There a linear program over patterns (multisets of lengths that fit a sequence) is solved by revised simplex, from a basis of greedy patterns;
+an unbounded knapsack dynamic program prices new patterns until the bound on what is left to gain is under GAP. Copies of
+patterns are rounded down and the few pieces left over are packed best-fit. Pieces get a rank within their length; the
+rank says which copy of which pattern, and which place in it, a piece takes.
 
 Ranks are made in two steps (within a hash chunk of a length, then offsets of chunks), so a length that a third of
 all pieces share is still spread over many tasks.
@@ -18,7 +19,7 @@ rows are packed one by one. Null doc_ids stay null. Other columns of the input a
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerview.llm import textbuf
-from ledgerview.llm.common import cut, prepare
+from ledgerview.llm.common import cut, drop_cut, prepare
 
 CAPACITY, GRAIN, END_ID = 1024, 64, 0
+MOST_PADDING = 0.02
 GAP, MOST_PRICINGS = 0.001, 4000
 CHUNK_ROWS, MOST_CHUNKS = 20_000, 16_384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -63,8 +65,11 @@ def encoder(json_name: str, ranks_name: str):
     return _encoders[json_name]
 
 
-def spans(tokens: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
-    """Where a document is cut: full sequences, a half, a multiple of GRAIN below it, and what is left."""
+def spans(tokens: int, capacity: int = CAPACITY, whole: bool = True) -> Iterator[tuple[int, int]]:
+    """Where a document is cut: nowhere if it fits and is to stay whole; else full sequences, a half, a multiple of GRAIN below it, and what is left."""
+    if whole and 0 < tokens <= capacity:
+        yield 0, tokens
+        return
     at = 0
     while at < tokens:
         left = tokens - at
@@ -74,7 +79,7 @@ def spans(tokens: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
         at += size
 
 
-def cut_pieces(docs: DataFrame, json_name: str, ranks_name: str, capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(docs: DataFrame, json_name: str, ranks_name: str, capacity: int = CAPACITY, whole: bool = True) -> DataFrame:
     """The pieces of every document of docs(doc_id, text)."""
     prepare(docs.sparkSession)
 
@@ -86,7 +91,7 @@ def cut_pieces(docs: DataFrame, json_name: str, ranks_name: str, capacity: int =
                 which, start, length, crc, total = [], [], [], [], []
                 for k in range(lo, hi):
                     found = np.append(encode(text[k].as_py()), np.uint32(END_ID)).astype("<u4")
-                    for at, to in spans(len(found), capacity):
+                    for at, to in spans(len(found), capacity, whole):
                         part = found[at:to]
                         which.append(k)
                         start.append(at)
@@ -120,6 +125,30 @@ def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def first_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis: the pattern of the longest pieces left that fit, as often as they last, until none are left.
+
+    Each pattern uses up a length that no later one has, so the columns, put at these lengths, are independent.
+    """
+    basis, x = np.diag(capacity // lengths).astype(float), np.zeros(len(lengths))
+    left, open_ = need.copy(), list(range(len(lengths)))
+    while open_:
+        pattern, room, k = np.zeros(len(lengths)), capacity, len(open_)
+        while k := min(k, bisect_right(open_, room, key=lambda at: lengths[at])):
+            at = open_[k - 1]
+            pattern[at] = min(room // lengths[at], max(1, int(left[at])))
+            room -= int(pattern[at] * lengths[at])
+            k -= 1
+        used = np.flatnonzero(pattern)
+        ratio = left[used] / pattern[used]
+        out = used[ratio.argmin()]
+        left[used] -= ratio.min() * pattern[used]
+        basis[:, out], x[out] = pattern, ratio.min()
+        left[out] = 0
+        open_ = [at for at in open_ if left[at] > 1e-9]
+    return basis, x
+
+
 def column_generation(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Patterns and fractional copies that cover counts (index: length) with few sequences."""
     lengths = np.flatnonzero(counts)
@@ -127,10 +156,8 @@ def column_generation(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarra
     m = len(lengths)
     if not m:
         return []
-    per = capacity // lengths
-    basis = np.diag(per).astype(float)
-    inverse = np.diag(1.0 / per)
-    x = need / per
+    basis, x = first_basis(lengths, need, capacity)
+    inverse = np.linalg.inv(basis)
     least = float((lengths * need).sum()) / capacity
     for k in range(MOST_PRICINGS):
         if k % 200 == 199:  # keep rounding errors small
@@ -179,8 +206,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[np.ndarray]:
     return made
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
-    """Slots by length: from rank `first` on, `each` places a copy at offset `place` in sequences from `base` on."""
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[str, np.ndarray], int]:
+    """Slots by length: from rank `first` on, `each` places a copy at offset `place` in sequences from `base` on; and the number of sequences."""
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[np.ndarray, int]] = []
     for pattern, copies in sorted(column_generation(counts, capacity), key=lambda p: -p[1]):
@@ -202,7 +229,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
         base += n
     rows.sort()
     table = np.array(rows, np.int64).reshape(-1, 5)
-    return dict(zip(("length", "first", "each", "place", "base"), table.T, strict=True))
+    return dict(zip(("length", "first", "each", "place", "base"), table.T, strict=True)), base
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
@@ -219,11 +246,15 @@ def _ranked(pieces: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, json_name: str, ranks_name: str, capacity: int = CAPACITY) -> DataFrame:
     """PIECES with sequence_id and offset."""
-    pieces = cut(cut_pieces(docs, json_name, ranks_name, capacity), "pieces")
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
-        counts[length] = n
-    slots = plan(counts, capacity)
+    for whole in (True, False):
+        pieces = cut(cut_pieces(docs, json_name, ranks_name, capacity, whole), "pieces")
+        counts = np.zeros(capacity + 1, np.int64)
+        for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
+            counts[length] = n
+        slots, sequences = plan(counts, capacity)
+        if not whole or (sequences - 1) * capacity * (1 - MOST_PADDING) <= int(counts @ np.arange(capacity + 1)):
+            break
+        drop_cut(pieces)
     keys = (slots["length"] << np.int64(44)) + slots["first"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

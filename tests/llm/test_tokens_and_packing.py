@@ -52,15 +52,34 @@ def test_pieces_cover_documents_and_sequences_have_no_gaps(spark, odd, none):
     for _, g in found.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1024
     assert found.length.sum() / 1024 / found.sequence_id.nunique() > 0.95
+    assert found[found.doc_tokens <= 1024].groupby("doc_id").size().max() == 1
     assert packing.pack(none, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken").count() == 0
 
 
+def test_documents_that_do_not_combine_are_cut(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randrange(560, 700))) for _ in range(40)]
+    found = packing.pack(documents(spark, texts), "byte_bpe_50k.json", "byte_bpe_50k.tiktoken").toPandas()
+    assert found.doc_tokens.between(513, 1024).all() and found.length.sum() / 1024 / found.sequence_id.nunique() > 0.95
+    assert (found.groupby("doc_id").length.sum() == found.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_first_basis_is_feasible():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, 65), rng.integers(1, 40), replace=False))
+        need = rng.integers(1, 500, len(lengths)).astype(float)
+        basis, x = packing.first_basis(lengths, need, 64)
+        assert (x >= 0).all() and np.allclose(basis @ x, need) and (lengths @ basis <= 64).all()
+        assert np.linalg.matrix_rank(basis) == len(lengths)
+
+
 def test_plan_covers_every_histogram():
     rng = np.random.default_rng(1)
     for counts in (np.zeros(65, int), rng.integers(0, 3, 65), rng.integers(0, 9000, 65), np.eye(65, dtype=int)[64] * 5):
         counts = counts.copy()
         counts[0] = 0
-        slots = packing.plan(counts, 64)
+        slots, sequences = packing.plan(counts, 64)
         filled = {}
         for length in np.flatnonzero(counts):
             own = slots["length"] == length
@@ -77,7 +96,7 @@ def test_plan_covers_every_histogram():
                 assert place == at
                 at += length
             assert at <= 64
-        assert sorted(filled) == list(range(len(filled)))
+        assert sorted(filled) == list(range(sequences))
 
 
 def test_column_generation_reaches_the_bound():
