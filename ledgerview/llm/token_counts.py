@@ -8,8 +8,9 @@ transition has one next state and one number of tokens to add.
 
 A text is cut into chunks of CHUNK characters. From its first synchronising position (a word start, or after a
 character outside the vocabulary) a chunk runs from the start state, whatever came before; all chunks of a slice run
-in step. A chunk's map from entry to exit state is then a constant after a short head; the heads of all chunks run in
-step from the exits of their predecessors, and chunks without such a position pass their state on round by round.
+in step. A chunk's map from entry to exit state is then a constant after a short head. Neighbouring chunks without such a
+position (long texts without spaces) have maps, filled in for the states that are asked for, which compose by a parallel
+prefix scan in a number of rounds that depends on the states met at chunk bounds, not on the length of the text.
 
 Defined cases: a null text is empty; an empty text has 0 bytes and 0 tokens. Texts are whole, of any length. Repeated
 rows keep their rows; other columns of the input are ignored.
@@ -30,6 +31,8 @@ from ledgerview.llm.common import prepare
 CHUNK, LIMIT = 256, 4096
 #: A worker drops its compiled states, or its known pairs of pieces, between slices beyond these numbers.
 MOST_STATES, MOST_PAIRS = 250_000, 1_000_000
+#: States a chunk's map is asked for before the chunks composed so far are set aside.
+MOST_ASKED = 32
 START = 0
 _NONE = -1
 
@@ -177,6 +180,48 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back], count[back]
 
+    @staticmethod
+    def _open_runs(constant: np.ndarray) -> list[tuple[int, int]]:
+        """Bounds of the runs of chunks whose maps are not constant; the chunk before a run is."""
+        edges = np.diff(np.concatenate([[0], ~constant, [0]]).astype(np.int8))
+        return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+
+    def _scan(self, cls: np.ndarray, lo: np.ndarray, hi: np.ndarray, state: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """States at the bounds of neighbouring chunks, the first one given, and the count of each chunk.
+
+        The first number says how many chunks are composed; it is all of them unless MOST_ASKED states do not suffice.
+
+        A chunk's map holds the entry states asked of it so far. Maps are composed by doubling: after k steps a place
+        says where its state is 2^k chunks on. While the composition from `state` meets a state that a chunk does not
+        know, every chunk behind is asked for that state and for the exit its predecessor gave last, all in step.
+        """
+        n = len(lo)
+        enter, leave, count = np.full((n, 1), state, np.int32), np.empty((n, 0), np.int32), np.empty((n, 0), np.int64)
+        at = 0  # chunks before it are composed
+        while True:
+            for column in range(leave.shape[1], enter.shape[1]):
+                out, more = self.run(cls, lo[at:], hi[at:], enter[at:, column])
+                leave = np.column_stack([leave, np.append(np.full(at, -1, np.int32), out)])
+                count = np.column_stack([count, np.append(np.zeros(at, np.int64), more)])
+            # the place in the next chunk's map that each exit leads to; the last place of all is "not known"
+            k = enter.shape[1]
+            same = leave[:-1, :, None] == enter[1:, None, :]
+            to = np.where(same.any(axis=2), (np.arange(1, n) * k)[:, None] + same.argmax(axis=2), n * k)
+            jump = np.concatenate([to.ravel(), np.full(k + 1, n * k)])
+            path = np.array([0])  # places of chunks 0, 1, ... from the first entry of chunk 0
+            while len(path) < n:
+                path = np.append(path, jump[path])
+                jump = jump[jump]
+            path = path[:n]
+            at = int(np.searchsorted(path, n * k))
+            if at == n or k > MOST_ASKED:
+                known = np.minimum(path, n * k - 1)
+                return at, np.append(state, leave.ravel()[known]), count.ravel()[known]
+            front = leave.ravel()[path[at - 1]]
+            guess = np.append(np.full(1, front, np.int32), leave[:-1, -1])
+            guess[: at + 1] = front
+            enter = np.column_stack([enter, np.full(n, front, np.int32), guess])
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text of a large_string array without nulls."""
         if len(self.entries) > MOST_STATES:
@@ -207,16 +252,13 @@ class Transducer:
         constant = first < hi
         body = np.where(constant, first, hi)
         leave, count = self.run(cls, body, hi, np.full(len(lo), START, np.int32))
-        # the maps of chunks compose: a head starts where the chunk before left off
-        known, todo = constant.copy(), body > lo
-        while todo.any():
-            ready = np.flatnonzero(todo & np.append(False, known[:-1]))
-            exits, more = self.run(cls, lo[ready], body[ready], leave[ready - 1])
-            count[ready] += more
-            open_ = ~constant[ready]
-            leave[ready[open_]] = exits[open_]
-            known[ready] = True
-            todo[ready] = False
+        enter = np.append(START, leave).astype(np.int32)
+        for a, b in self._open_runs(constant):
+            while a < b:
+                done, enter[a : b + 1], count[a:b] = self._scan(cls, lo[a:b], hi[a:b], enter[a])
+                a += done
+        heads = np.flatnonzero(constant & (body > lo))
+        count[heads] += self.run(cls, lo[heads], body[heads], enter[heads])[1]
         return np.bincount(doc, count, len(size)).astype(np.int64)
 
 

@@ -35,6 +35,28 @@ def test_random_strings_and_chunk_bounds():
     assert machine.counts(pa.array(texts[:20], pa.large_string())).tolist() == [len(x) for x in model.encode(texts[:20])]
 
 
+def test_long_texts_without_spaces(monkeypatch):
+    import time
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    machine = token_counts.Transducer(P.path("piece_bpe_32k.model"))
+    rnd = random.Random(9)
+    texts = ["a" * 5000, "abc" * 3000, "=" * 7001, "".join(rnd.choice("etaoinshrdlu") for _ in range(20000)), "x y " + "-" * 3000 + " z", "0123456789" * 900]
+    texts += ["".join(rnd.choice(["ab", "aba", "ing", "tion", "er"]) for _ in range(3000)), "".join(rnd.choice("日本語文字列") for _ in range(3000))]
+    want = [len(model.encode(x)) for x in texts]
+    assert machine.counts(pa.array(texts, pa.large_string())).tolist() == want
+    assert [machine.counts(pa.array([x], pa.large_string()))[0] for x in texts] == want
+    with monkeypatch.context() as few:
+        few.setattr(token_counts, "MOST_ASKED", 0)  # maps are given up and begun again
+        assert machine.counts(pa.array(texts, pa.large_string())).tolist() == want
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(800_000))
+    begin = time.time()
+    machine.counts(pa.array([text], pa.large_string()))
+    assert time.time() - begin < 15
+
+
 def test_pieces_cover_documents_and_sequences_have_no_gaps(spark, odd, none):
     from tokenizers import Tokenizer
 
