@@ -8,10 +8,12 @@ Word counts over all documents give the vocabulary and the first output biases.
 their own in the network; every other word is predicted as the hashed entry it shares and then, by its count in the
 corpus, among all words of that entry. So each word has a probability of its own, and the vocabulary, a table that
 text is joined with, grows with the corpus; only the network has a fixed size. Words that the counts do not have (in texts
-of another corpus) count as one. Training is data-parallel: from common weights every task takes gradient steps on its own
-documents (every STRIDE-th word of each, in each round at another place, so that ROUNDS rounds train on every word), and the weights are averaged by the number of
-words seen, in blocks, so neither a task nor the driver holds more than one set of weights. So what is counted and learnt grows
-with the corpus. Every whole text is scored.
+of another corpus) count as one. Texts are written once as word numbers and dealt over shards by a hash of doc_id and text;
+the number of shards follows the words of the corpus. Training is data-parallel: from common weights every shard takes
+gradient steps on its own texts in a fixed order (every STRIDE-th word of each, in each round at another place, so that ROUNDS
+rounds train on every word), and the weights are averaged by the number of words seen, in blocks, so neither a task nor the
+driver holds more than one set of weights. Sums are of whole numbers, so scores do not depend on partitions. So what is
+counted and learnt grows with the corpus. Every whole text is scored.
 
 Defined cases: a null or empty text has 0 tokens, a sum of 0 and a null mean. A text of one word is predicted from
 padding. Repeated rows keep their rows; other columns of the input are ignored. An empty table gives no rows.
@@ -27,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerview.llm import textbuf
-from ledgerview.llm.common import cut, prepare
+from ledgerview.llm.common import cut, drop_cut, prepare
 
 CLASSES, IN_CLASS = 32, 32
 VOCABULARY, HASHED = CLASSES * IN_CLASS, 128
 PAD, WINDOW, WIDTH = VOCABULARY, 2, 32
 STRIDE, ROUNDS, BATCH, RATE, SEED = 2, 2, 1024, 0.1, 3
 BLOCKS = 16
+#: Words of a shard, the same at every size until there are MOST_SHARDS shards, which then hold more each.
+SHARD_WORDS, MOST_SHARDS = 1 << 19, 1 << 16
+#: Averages are sums of whole numbers: shares of SHARE_WORDS words, weights in steps of 1 / FINENESS up to LARGEST.
+SHARE_WORDS, FINENESS, LARGEST = 1 << 10, 1 << 16, 1 << 7
 Weights = dict[str, np.ndarray]
 
 
@@ -169,67 +175,111 @@ def _shaped(flat: np.ndarray, like: Weights) -> Weights:
     return {k: x.reshape(like[k].shape).astype(np.float32) for k, x in zip(sorted(like), np.split(flat, ends[:-1]), strict=True)}
 
 
-def averaged(docs: DataFrame, words: np.ndarray, weights: Weights, turn: int) -> Weights:
-    """Weights after a round: each task's own steps from `weights`, averaged by the words it saw."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words, weights))
+def encoded(docs: DataFrame, words: np.ndarray, shards: int) -> DataFrame:
+    """shard, place, sig, ids (two bytes a word) of every text with words; shard and place depend on doc_id and text alone."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, first in _slices(batch):
+                ids = ids_of(hashes, known.value).astype("<u2")
+                rows = pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                sig = textbuf.sequence_hashes(hashes, first[:-1], first[1:]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sig), rows], ["doc_id", "sig", "ids"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, sig long, ids binary").filter(F.length("ids") > 0)
+    place = F.xxhash64("doc_id", "sig")
+    return cut(rows.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), "sig", "ids"), "lm-ids")
+
+
+def averaged(rows: DataFrame, shards: int, weights: Weights, turn: int) -> Weights:
+    """Weights after a round over encoded rows: each shard's own steps from `weights`, averaged by the words it saw.
+
+    A shard is read in the order of `place`, and averages are sums of whole numbers, so the result does not depend on tasks.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
     size = len(_flat(weights))
     edges = np.linspace(0, size, BLOCKS + 1).astype(int)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
-        w = {k: v.copy() for k, v in start.items()}
-        seen = {k: np.full_like(v, 1e-2 if k == "context" else 1e-3) for k, v in w.items()}
-        total, held = 0, []
+        start = shared.value
+        sums, shares = np.zeros(size, np.int64), 0
+        current, w, seen, held, waiting, total = None, start, start, [], 0, 0
+
+        def learn() -> int:
+            nonlocal held, waiting
+            first = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
+            ids = np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)
+            at = np.flatnonzero((np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))) % STRIDE == turn % STRIDE)
+            if len(at):
+                _epoch(w, seen, contexts(ids, first)[at], ids[at])
+            held, waiting = [], 0
+            return len(at)
+
+        def close() -> None:
+            nonlocal sums, shares, total
+            total += learn()
+            share = -(-total // SHARE_WORDS)
+            sums += np.rint(np.clip(_flat(w).astype(np.float64), -LARGEST, LARGEST) * FINENESS).astype(np.int64) * share
+            shares += share
+
         for batch in batches:
-            for _, _, hashes, first in _slices(batch):
-                ids = ids_of(hashes, known)
-                at = np.flatnonzero((np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))) % STRIDE == turn % STRIDE)
-                held.append((contexts(ids, first)[at], ids[at]))
-                total += len(at)
-                if sum(len(t) for _, t in held) >= 64 * BATCH:
-                    _epoch(w, seen, held)
-                    held = []
-        _epoch(w, seen, held)
-        flat = _flat(w).astype(np.float64) * total
-        parts = [flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int64()), pa.array([total] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "sums"])
+            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != current:
+                    if current is not None:
+                        close()
+                    current, total = shard, 0
+                    w = {k: v.copy() for k, v in start.items()}
+                    seen = {k: np.full_like(v, 1e-2 if k == "context" else 1e-3) for k, v in w.items()}
+                held.append(np.frombuffer(raw, "<u2"))
+                waiting += len(held[-1])
+                if waiting >= 64 * BATCH * STRIDE:
+                    total += learn()
+        if current is not None:
+            close()
+        if shares:
+            parts = [sums[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int64()), pa.array([shares] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
             for block, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                old = sums.get(block, [0, 0.0])
-                sums[block] = [old[0] + n, old[1] + np.frombuffer(raw)]
+                old = sums.get(block, [0, 0])
+                sums[block] = [old[0] + n, old[1] + np.frombuffer(raw, np.int64)]
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], ["block", "n", "sums"])
 
     schema = "block long, n long, sums binary"
-    rows = docs.select("text").mapInArrow(train, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()  # one set of weights
-    if not rows:
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "sig").select("shard", "ids")
+    found = dealt.mapInArrow(train, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()  # one set of weights
+    if not found:
         return weights
     flat = np.zeros(size)
-    for block, n, raw in rows:
-        flat[edges[block] : edges[block + 1]] = np.frombuffer(raw) / n
+    for block, n, raw in found:
+        flat[edges[block] : edges[block + 1]] = np.frombuffer(raw, np.int64) / (n * FINENESS)
     return _shaped(flat, weights)
 
 
-def _epoch(w: Weights, seen: Weights, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    if held:
-        context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.random.default_rng(SEED).permutation(len(target))
-        for lo in range(0, len(order), BATCH):
-            at = order[lo : lo + BATCH]
-            gradient_step(w, seen, context[at], target[at])
+def _epoch(w: Weights, seen: Weights, context: np.ndarray, target: np.ndarray) -> None:
+    order = np.random.default_rng(SEED).permutation(len(target))
+    for lo in range(0, len(order), BATCH):
+        at = order[lo : lo + BATCH]
+        gradient_step(w, seen, context[at], target[at])
 
 
 def train(docs: DataFrame, counted: DataFrame | None = None) -> tuple[np.ndarray, Weights]:
+    """Words and weights learnt from docs(doc_id, text), the same however the rows are dealt over partitions."""
     prepare(docs.sparkSession)
+    counted = word_counts(docs) if counted is None else counted
     words, counts = vocabulary(docs, counted)
     weights = first_weights(counts)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    shards = min(MOST_SHARDS, 1 + total // SHARD_WORDS)
+    rows = encoded(docs, words, shards)
     for turn in range(ROUNDS):
-        weights = averaged(docs, words, weights, turn)
+        weights = averaged(rows, shards, weights, turn)
+    drop_cut(rows)
     return words, weights
 
 

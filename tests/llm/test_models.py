@@ -110,6 +110,18 @@ def test_pseudo_likelihood(spark, odd, none):
     assert lm_score.train(none)[0].size == 0 and lm_score.score(none, words, weights).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_WORDS", 4000)
+    rnd = random.Random(8)
+    docs = documents(spark, [prose(rnd, rnd.randrange(20, 300)) for _ in range(150)] + ["same words here"] * 5)
+    runs = []
+    for dealt in (docs.repartition(1), docs.repartition(8, "text")):
+        words, weights = lm_score.train(dealt)
+        runs.append((weights, {r.doc_id: r.log_likelihood for r in lm_score.score(dealt, words, weights).collect()}))
+    assert all((runs[0][0][k] == runs[1][0][k]).all() for k in runs[0][0])
+    assert runs[0][1].keys() == runs[1][1].keys() and all(np.isclose(runs[0][1][k], runs[1][1][k], atol=1e-5) for k in runs[0][1])
+
+
 def test_rounds_train_on_every_word():
     assert {k % lm_score.STRIDE for k in range(lm_score.ROUNDS)} == set(range(lm_score.STRIDE))
 
