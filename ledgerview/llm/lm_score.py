@@ -35,7 +35,7 @@ CLASSES, IN_CLASS = 32, 32
 VOCABULARY, HASHED = CLASSES * IN_CLASS, 128
 PAD, WINDOW, WIDTH = VOCABULARY, 2, 32
 STRIDE, ROUNDS, BATCH, RATE, SEED = 2, 2, 1024, 0.1, 3
-BLOCKS = 16
+BLOCKS, LARGEST_LOGIT = 16, 80
 #: Words of a shard, the same at every size until there are MOST_SHARDS shards, which then hold more each.
 SHARD_WORDS, MOST_SHARDS = 1 << 19, 1 << 16
 #: Averages are sums of whole numbers: shares of SHARE_WORDS words, weights in steps of 1 / FINENESS up to LARGEST.
@@ -113,57 +113,82 @@ def first_weights(counts: np.ndarray) -> Weights:
     return weights
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.exp(z - z.max(axis=1, keepdims=True), out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of bounded logits, in place, and their row sums."""
+    np.minimum(z, LARGEST_LOGIT, out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+def _hidden(w: Weights, context: np.ndarray) -> np.ndarray:
+    h = w["context"].take(context[:, 0], axis=0)
+    for k in range(1, context.shape[1]):
+        h += w["context"].take(context[:, k], axis=0)
+    h += w["hidden"]
+    return np.tanh(h, out=h)
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts classes together, and (class, from, to) in this order."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))]).tolist()
+    return order, [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
 
 
 def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    h = np.tanh(w["hidden"] + w["context"][context].sum(axis=1))
-    cls, word = target // IN_CLASS, target % IN_CLASS
+    order, runs = _by_class(target // IN_CLASS)
+    h, cls, word = _hidden(w, context[order]), (target // IN_CLASS)[order], (target % IN_CLASS)[order]
     every = np.arange(len(target))
-    out = np.log(_softmax(h @ w["class"].T + w["class_bias"])[every, cls])
-    for c, rows in _by_class(cls):
-        p = _softmax(h[rows] @ w["word"][c].T + w["word_bias"][c])
-        out[rows] += np.log(p[np.arange(len(rows)), word[rows]])
+    e, total = _exponentials(h @ w["class"].T + w["class_bias"])
+    found = e[every, cls] / total
+    for c, lo, hi in runs:
+        e, total = _exponentials(h[lo:hi] @ w["word"][c].T + w["word_bias"][c])
+        found[lo:hi] *= e[every[: hi - lo], word[lo:hi]] / total
+    out = np.empty_like(found)
+    out[order] = np.log(found)
     return out
 
 
 def gradient_step(w: Weights, seen: Weights, context: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on a batch; seen: sums of squared gradients."""
-    h = np.tanh(w["hidden"] + w["context"][context].sum(axis=1))
-    cls, word = target // IN_CLASS, target % IN_CLASS
-    n = len(target)
-    p = _softmax(h @ w["class"].T + w["class_bias"])
-    p[np.arange(n), cls] -= 1
-    grads = {"class": p.T @ h / n, "class_bias": p.sum(axis=0) / n}
+    order, runs = _by_class(target // IN_CLASS)
+    context, cls, word = context[order], (target // IN_CLASS)[order], (target % IN_CLASS)[order]
+    h, n = _hidden(w, context), len(target)
+    every, ones = np.arange(n), np.ones(n, np.float32)
+    p, total = _exponentials(h @ w["class"].T + w["class_bias"])
+    p /= total[:, None]
+    p[every, cls] -= 1
+    grads = {"class": p.T @ h / n, "class_bias": ones @ p / n}
     back = p @ w["class"]
     grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
-    for c, rows in _by_class(cls):
-        q = _softmax(h[rows] @ w["word"][c].T + w["word_bias"][c])
-        q[np.arange(len(rows)), word[rows]] -= 1
-        grads["word"][c], grads["word_bias"][c] = q.T @ h[rows] / n, q.sum(axis=0) / n
-        back[rows] += q @ w["word"][c]
-    back *= (1 - h * h) / n
-    grads["hidden"] = back.sum(axis=0)
+    for c, lo, hi in runs:
+        q, total = _exponentials(h[lo:hi] @ w["word"][c].T + w["word_bias"][c])
+        q /= total[:, None]
+        q[every[: hi - lo], word[lo:hi]] -= 1
+        grads["word"][c], grads["word_bias"][c] = q.T @ h[lo:hi], ones[: hi - lo] @ q
+        back[lo:hi] += q @ w["word"][c]
+    grads["word"] /= n
+    grads["word_bias"] /= n
+    h *= h
+    back *= (1 - h) / n
+    grads["hidden"] = ones @ back
     for k, g in grads.items():
         seen[k] += g * g
         w[k] -= RATE * g / np.sqrt(seen[k] + 1e-8)
-    flat = context.ravel()
+    flat = context.astype(np.uint16).ravel()  # sorts by radix
     order = np.argsort(flat, kind="stable")
-    rows, at = np.unique(flat[order], return_index=True)
-    g = np.add.reduceat(back[order // context.shape[1]], at, axis=0)
-    seen["context"][rows] += g * g
-    w["context"][rows] -= RATE * g / np.sqrt(seen["context"][rows] + 1e-8)
+    flat = flat[order]
+    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    rows = flat[at]
+    pairs = back.astype(np.float32, copy=False).take(order // context.shape[1], axis=0).view(np.complex64)  # two sums at a time
+    g = np.add.reduceat(pairs, at, axis=0).view(np.float32)
+    squares = seen["context"].take(rows, axis=0)
+    squares += g * g
+    seen["context"][rows] = squares
+    squares += 1e-8
+    g *= RATE
+    g /= np.sqrt(squares, out=squares)
+    w["context"][rows] -= g
 
 
 def _flat(w: Weights) -> np.ndarray:
@@ -175,9 +200,9 @@ def _shaped(flat: np.ndarray, like: Weights) -> Weights:
     return {k: x.reshape(like[k].shape).astype(np.float32) for k, x in zip(sorted(like), np.split(flat, ends[:-1]), strict=True)}
 
 
-def encoded(docs: DataFrame, words: np.ndarray, shards: int) -> DataFrame:
-    """shard, place, sig, ids (two bytes a word) of every text with words; shard and place depend on doc_id and text alone."""
-    known = docs.sparkSession.sparkContext.broadcast(words)
+def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """doc_id, sig (a hash of the words), place (of doc_id and sig), ids (two bytes a word) of every text."""
+    known = prepare(docs.sparkSession).sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,9 +212,8 @@ def encoded(docs: DataFrame, words: np.ndarray, shards: int) -> DataFrame:
                 sig = textbuf.sequence_hashes(hashes, first[:-1], first[1:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sig), rows], ["doc_id", "sig", "ids"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, sig long, ids binary").filter(F.length("ids") > 0)
-    place = F.xxhash64("doc_id", "sig")
-    return cut(rows.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), "sig", "ids"), "lm-ids")
+    rows = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, sig long, ids binary")
+    return cut(rows.withColumn("place", F.xxhash64("doc_id", "sig")), "lm-ids")
 
 
 def averaged(rows: DataFrame, shards: int, weights: Weights, turn: int) -> Weights:
@@ -251,7 +275,8 @@ def averaged(rows: DataFrame, shards: int, weights: Weights, turn: int) -> Weigh
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], ["block", "n", "sums"])
 
     schema = "block long, n long, sums binary"
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "sig").select("shard", "ids")
+    dealt = rows.filter(F.length("ids") > 0).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "sig").select("shard", "ids")
     found = dealt.mapInArrow(train, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()  # one set of weights
     if not found:
         return weights
@@ -268,17 +293,26 @@ def _epoch(w: Weights, seen: Weights, context: np.ndarray, target: np.ndarray) -
         gradient_step(w, seen, context[at], target[at])
 
 
-def train(docs: DataFrame, counted: DataFrame | None = None) -> tuple[np.ndarray, Weights]:
-    """Words and weights learnt from docs(doc_id, text), the same however the rows are dealt over partitions."""
-    prepare(docs.sparkSession)
-    counted = word_counts(docs) if counted is None else counted
-    words, counts = vocabulary(docs, counted)
+def fit(rows: DataFrame, counts: np.ndarray, total: int) -> Weights:
+    """Weights learnt from encoded rows of `total` words, the same however the rows are dealt over partitions."""
     weights = first_weights(counts)
-    total = counted.agg(F.sum("n")).first()[0] or 0
     shards = min(MOST_SHARDS, 1 + total // SHARD_WORDS)
-    rows = encoded(docs, words, shards)
     for turn in range(ROUNDS):
         weights = averaged(rows, shards, weights, turn)
+    return weights
+
+
+def total_words(counted: DataFrame) -> int:
+    return int(counted.agg(F.sum("n")).first()[0] or 0)
+
+
+def train(docs: DataFrame, counted: DataFrame | None = None) -> tuple[np.ndarray, Weights]:
+    """Words and weights learnt from docs(doc_id, text)."""
+    prepare(docs.sparkSession)
+    counted = word_counts(docs) if counted is None else counted
+    words, counts = vocabulary(docs, counted)
+    rows = encoded(docs, words)
+    weights = fit(rows, counts, total_words(counted))
     drop_cut(rows)
     return words, weights
 
@@ -307,30 +341,30 @@ def _shared_entries(docs: DataFrame, words: np.ndarray, counted: DataFrame) -> D
     return rows.groupBy("sig").agg((F.sum(F.col("k") * F.coalesce("p", least)) / F.sum("k")).alias("inner"))
 
 
-def score(docs: DataFrame, words: np.ndarray, weights: Weights, counted: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every document; counted: the counts of the corpus of `words`, of docs themselves if not given."""
+def score(docs: DataFrame, words: np.ndarray, weights: Weights, counted: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every document; counted: the counts of the corpus of `words`, of docs themselves if not given; rows: docs as `encoded` gives them."""
     spark = prepare(docs.sparkSession)
     counted = word_counts(docs) if counted is None else counted
-    shared = spark.sparkContext.broadcast((words, weights))
+    rows = encoded(docs, words) if rows is None else rows
+    shared = spark.sparkContext.broadcast(weights)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = shared.value
-        w = {k: v.astype(np.float64) for k, v in w.items()}  # with rounding below, equal texts score alike wherever they stand
+        w = {k: v.astype(np.float64) for k, v in shared.value.items()}  # with rounding below, equal texts score alike wherever they stand
         for batch in batches:
-            for lo, hi, hashes, first in _slices(batch):
-                ids = ids_of(hashes, known)
+            raw = batch.column(2).cast(pa.large_binary())
+            for lo, hi in textbuf.slices(raw, textbuf.SLICE_BYTES // 4):
+                data, offsets = textbuf.raw(raw.slice(lo, hi - lo))
+                ids, first = data.view("<u2").astype(np.int64), np.asarray(offsets) // 2
                 context = contexts(ids, first)
                 logs = np.zeros(len(ids) + 1)
-                for a in range(0, len(ids), 16 * BATCH):
-                    b = min(a + 16 * BATCH, len(ids))
+                for a in range(0, len(ids), 4 * BATCH):
+                    b = min(a + 4 * BATCH, len(ids))
                     logs[a + 1 : b + 1] = log_probabilities(w, context[a:b], ids[a:b])
-                sums = np.cumsum(logs)[first]
-                total, n = np.diff(sums), np.diff(first)
-                sig = textbuf.sequence_hashes(hashes, first[:-1], first[1:]).view(np.int64)
+                total, n = np.diff(np.cumsum(logs)[first]), np.diff(first)
                 rare = np.diff(np.concatenate([[0], np.cumsum(ids >= VOCABULARY - HASHED)])[first])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.round(total, 6)), pa.array(sig), pa.array(rare.astype(np.int64))], ["doc_id", "n_tokens", "total", "sig", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.round(total, 6)), batch.column(1).slice(lo, hi - lo), pa.array(rare.astype(np.int64))], ["doc_id", "n_tokens", "total", "sig", "rare"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_tokens long, total double, sig long, rare long")
+    rows = rows.select("doc_id", "sig", "ids").mapInArrow(apply, "doc_id long, n_tokens long, total double, sig long, rare long")
     rows = rows.join(_shared_entries(docs, words, counted), "sig", "left")
     total = F.col("total") + F.col("rare") * F.coalesce("inner", F.lit(0.0))
     return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
@@ -339,4 +373,6 @@ def score(docs: DataFrame, words: np.ndarray, weights: Weights, counted: DataFra
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     counted = word_counts(docs)
-    return score(docs, *train(docs, counted), counted)
+    words, counts = vocabulary(docs, counted)
+    rows = encoded(docs, words)
+    return score(docs, words, fit(rows, counts, total_words(counted)), counted, rows)
