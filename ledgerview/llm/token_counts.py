@@ -253,7 +253,11 @@ class Transducer:
         body = np.where(constant, first, hi)
         leave, count = self.run(cls, body, hi, np.full(len(lo), START, np.int32))
         enter = np.append(START, leave).astype(np.int32)
-        for a, b in self._open_runs(constant):
+        runs = self._open_runs(constant)
+        heads = np.array([a for a, _ in runs], np.int64)  # the first chunks of all runs go in step; most runs have no other
+        enter[heads + 1], count[heads] = self.run(cls, lo[heads], hi[heads], enter[heads])
+        for a, b in runs:
+            a += 1
             while a < b:
                 done, enter[a : b + 1], count[a:b] = self._scan(cls, lo[a:b], hi[a:b], enter[a])
                 a += done
