@@ -61,8 +61,8 @@ BITS = ["b0", "b1", "b2", "b3"]
 SALTS = 16
 #: Letters that stand for words when lines are verified, from FIRST_LETTER on.
 LETTERS, FIRST_LETTER = 1_000_000, 0x10000
-#: Most bits of the map through which the second scan picks lines; it has 32 bits a line below that.
-MAP_BITS = 1 << 28
+#: Most bits of the map through which the second scan picks lines, 4 MB at the driver at any size; it has 32 bits a line below that. A full map picks more lines, and the join that follows drops them.
+MAP_BITS = 1 << 25
 _NORMAL = textbuf.lower_ascii(np.arange(256, dtype=np.uint8))
 _NORMAL[48:58] = 48
 
@@ -205,9 +205,9 @@ def _ranks(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["at", "n"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SAMPLE)) == 0).select("text")
-    found = some.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most RANKS rows
+    found = some.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most RANKS rows
     ranks = np.zeros(RANKS, np.uint8)
-    ranks[found["at"]] = np.minimum(10 * np.log2(found["n"] + 1), 255)
+    ranks[found["at"].to_numpy()] = np.minimum(10 * np.log2(found["n"].to_numpy() + 1), 255)
     return ranks
 
 
@@ -364,9 +364,9 @@ def _texts(docs: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.explode(F.array("u", "v")).alias("h"))
     size = min(MAP_BITS, max(1 << 16, 1 << (32 * edges.count()).bit_length()))
     bit, one = F.pmod("h", F.lit(size)), F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    words = nodes.withColumn("bit", bit).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
+    words = nodes.withColumn("bit", bit).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # at most MAP_BITS / 64 rows
     bitmap = np.zeros(size // 64, np.int64)
-    bitmap[words["word"]] = words["bits"]
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8).copy())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -230,3 +230,12 @@ def test_recall_of_long_lines():
             met += bool(set(key[line == 0].tolist()) & set(key[line == 1].tolist()))
             total += 1
     assert met / total > 0.98, met / total
+
+
+def test_a_full_map_of_lines_loses_nothing(spark, monkeypatch):
+    assert line_dedup.MAP_BITS <= 1 << 25  # what the driver collects and sends stays some MB at any size
+    words = [f"wording{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    docs = documents(spark, [" ".join([*words[:k], f"other{chr(97 + k % 26)}", *words[k + 1 :]]) for k in range(30)])
+    want = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "MAP_BITS", 64)
+    assert sorted(map(str, line_dedup.dedup_lines(docs).collect())) == want
