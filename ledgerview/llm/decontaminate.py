@@ -35,6 +35,8 @@ COSINE, MASS, MATCHES, COVER = 0.25, 0.4, 0.4, 0.3
 #: Longest common subsequence as a share of the probe: enough by itself, and enough with the closing words.
 SURE, LIKELY, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.55, 5, 0.6
 SCALES = (32, 64, 128)
+#: Most words of the vocabulary whose vectors are summed at a time, whatever the windows hold: memory stays bounded.
+HELD = 1 << 14
 _CLEAN = textbuf.lower_ascii(np.arange(256, dtype=np.uint8))
 _CLEAN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 32
 
@@ -71,11 +73,20 @@ class Probes:
                 mask[w] = mask.get(w, 0) | 1 << k
             self.masks.append(mask)
 
+        # where the terms of each leading part of a hash begin, and how many a part has at most
+        bits = min(22, len(self.terms).bit_length() + 6)
+        self.shift = np.uint64(64 - bits)
+        sizes = np.bincount((self.terms >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.depth = int(sizes.max())
+        self.padded = np.append(self.terms, np.uint64((1 << 64) - 1))
+
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers of words, -1 for words outside the vocabulary."""
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == hashes, at, -1)
+        at = self.begin[(hashes >> self.shift).view(np.int64)]
+        for _ in range(self.depth):
+            at += self.padded[at] < hashes
+        return np.where((self.padded[at] == hashes) & (at < len(self.terms)), at, -1).astype(np.int64)
 
     def weigh(self, df: np.ndarray, passages: int) -> None:
         idf = np.log((passages + 1) / (df + 1)) + 1e-3
@@ -101,6 +112,7 @@ class Probes:
         keep = value > 1e-9 * value[-1]
         u, s, _ = np.linalg.svd(y @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
         self.space = u[:, :RANK][:, s[:RANK] > 1e-6 * s[0]].astype(np.float32)
+        self.weighted = self.space * self.weight[:, None]
         latent = own @ self.space
         self.mass = (own**2).sum(axis=1)
         self.own_terms = ((own > 0) & (self.weight > 0)).sum(axis=1)
@@ -230,12 +242,15 @@ def _windows(term: np.ndarray, first: np.ndarray, mass: np.ndarray, probes: Prob
         a, b = np.searchsorted(spots, start), np.searchsorted(spots, end)
         keep = ((sums[b] - sums[a]) >= MASS * probes.mass[mine].min()) & (b - a >= MATCHES * probes.own_terms[mine].min())
         start, end, a, b = start[keep], end[keep], a[keep], b[keep]
-        for lo in range(0, len(start), 4096):
-            part = slice(lo, lo + 4096)
+        done = np.cumsum(b - a)
+        lo = 0
+        while lo < len(start):
+            part = slice(lo, max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + HELD, side="right"))))
+            lo = part.stop
             n = b[part] - a[part]
             row = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + a[part][row]
-            vector = probes.space[held[at]] * probes.weight[held[at]][:, None]
+            vector = probes.weighted.take(held[at], axis=0)
             z = np.add.reduceat(vector, np.cumsum(n) - n, axis=0)  # no window here is empty: its mass is positive
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
             cosine = z @ probes.latent[mine].T

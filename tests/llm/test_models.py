@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from llm_texts import ODD, documents, prose
 from pyspark.sql import functions as F
 
@@ -155,3 +156,24 @@ def test_gradient_steps_learn():
     for _ in range(30):
         lm_score.gradient_step(w, seen, context, ids)
     assert lm_score.log_probabilities(w, context, ids).mean() > first + 2
+
+
+def test_leak_search_holds_few_vectors_at_a_time():
+    import tracemalloc
+
+    rnd = random.Random(4)
+    items = [" ".join(f"{rnd.choice('bcdfgklm')}{rnd.choice('aeiou')}{k}x" for k in range(30)) for _ in range(30)]
+    probes = decontaminate.Probes(list(range(30)), items)
+    probes.weigh(np.ones(len(probes.terms), np.int64), 10_000)
+    probes.fit(np.zeros(0, np.int64), np.zeros((0, decontaminate.RANK + decontaminate.EXTRA)))
+    words = sorted({w for x in items for w in x.split()})
+    text = " ".join(rnd.choice(words) for _ in range(100_000)) + " " + items[7]
+    hashes, first = decontaminate.words_of(pa.array([text, "nothing of the kind"], pa.large_string()))
+    at = np.searchsorted(probes.terms, hashes) % len(probes.terms)
+    assert probes.index(hashes).tolist() == np.where(probes.terms[at] == hashes, at, -1).tolist()
+    tracemalloc.start()
+    found = decontaminate.leaks(hashes, first, probes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (0, 7) in found and all(doc == 0 for doc, _ in found)
+    assert peak < 60e6, peak  # two vectors for every word of 4,096 windows took several times that
