@@ -124,22 +124,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict[s
         for batch in batches:
             for lo, hi, (text, bucket, count) in _slices(batch):
                 ends = np.searchsorted(text, np.arange(hi - lo + 1))
-                lists = [[x[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (bucket, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int64())), batch.column(2).slice(lo, hi - lo)], ["doc_id", "bucket", "count", "label"])
+                packed = [[x[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x, kind in ((bucket, ">u2"), (count, ">u4"))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x, pa.binary()) for x in packed), batch.column(2).slice(lo, hi - lo)], ["doc_id", "bucket", "count", "label"])
 
-    rows = sample(docs, labels, most).mapInArrow(describe, "doc_id long, bucket array<long>, count array<long>, label int").collect()  # bounded by `most`
+    rows = sample(docs, labels, most).mapInArrow(describe, "doc_id long, bucket binary, count binary, label int").collect()  # bounded by `most`
     if not rows:
         return {"idf": idf, "space": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32)}
-    rows.sort(key=lambda r: (r[0], r[3], list(r[1])))
-    text = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    bucket, count = (np.concatenate([np.array(r[k], np.int64) for r in rows]) for k in (1, 2))
-    x = _vectors(text, bucket, count, idf, None, len(rows))
+    rows.sort(key=lambda r: (r[0], r[3], bytes(r[1])))
+    bucket, count = ([np.frombuffer(r[k], kind).astype(np.int64) for r in rows] for k, kind in ((1, ">u2"), (2, ">u4")))
+
+    def blocks(space: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        for lo in range(0, len(rows), BLOCK):
+            some = bucket[lo : lo + BLOCK]
+            text = np.repeat(np.arange(len(some)), [len(x) for x in some])
+            yield _vectors(text, np.concatenate(some), np.concatenate(count[lo : lo + BLOCK]), idf, space, len(some))
+
     q = np.random.default_rng(SEED).standard_normal((TERMS, RANK + 8)).astype(np.float32)
-    for _ in range(3):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    for _ in range(3):  # the dense rows of a block at a time, never all of them
+        q, _ = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))
+    _, _, vt = np.linalg.svd(np.concatenate([x @ q for x in blocks()]), full_matrices=False)
     space = (q @ vt.T[:, :RANK]).astype(np.float32)
-    return {"idf": idf, "space": space, "vectors": _vectors(text, bucket, count, idf, space, len(rows)), "labels": np.array([r[3] for r in rows], np.float32)}
+    return {"idf": idf, "space": space, "vectors": np.concatenate(list(blocks(space))), "labels": np.array([r[3] for r in rows], np.float32)}
 
 
 def votes(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:

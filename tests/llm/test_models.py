@@ -177,3 +177,19 @@ def test_leak_search_holds_few_vectors_at_a_time():
     tracemalloc.stop()
     assert (0, 7) in found and all(doc == 0 for doc, _ in found)
     assert peak < 60e6, peak  # two vectors for every word of 4,096 windows took several times that
+
+
+def test_labelled_texts_are_fitted_in_blocks(spark, monkeypatch):
+    rnd = random.Random(12)
+    docs = documents(spark, [prose(rnd, 40) if k % 2 else "BUY!! NOW | CLICK | " * 8 + str(k) for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, label int")
+    rows = []
+    vectors = quality_knn._vectors
+    monkeypatch.setattr(quality_knn, "_vectors", lambda *a: rows.append(a[-1]) or vectors(*a))
+    whole = quality_knn.fit(docs, labels)
+    monkeypatch.setattr(quality_knn, "BLOCK", 7)
+    rows.clear()
+    parts = quality_knn.fit(docs, labels)
+    assert rows and max(rows) <= 7  # the driver holds the dense rows of a block only
+    assert np.allclose(parts["vectors"] @ parts["vectors"].T, whole["vectors"] @ whole["vectors"].T, atol=1e-3)
+    assert parts["labels"].tolist() == whole["labels"].tolist()
