@@ -8,7 +8,7 @@ of both lines have their first L shared words among them (prefix filter; repeate
 SHORT words show their rare words of this kind as keys, and pairs of their common ones, so that a key meets few lines: complete.
 Longer lines would show a key for every five words; they show SHOWN of their rarest words, the least by hash (a bottom
 sketch), which similar lines share one of but in a few cases in a thousand at the limit of similarity, and fewer below it.
-The order puts rare words first by counts over a sample. Pairs that meet are dropped early only by bounds that no similar pair
+The order puts rare words first by counts over all documents. Pairs that meet are dropped early only by bounds that no similar pair
 exceeds: a differing number of words, and two bits of a parity signature an edit.
 Pairs that stay are verified by edit distance over their
 words (each a letter of LETTERS), and verified pairs are linked; of every connected group the first occurrence in
@@ -44,10 +44,12 @@ from ledgerview.llm.simhash_dedup import hot_keys, split_hot
 SIMILARITY, LEAST_WORDS = 0.8, 4  # four words are similar to the same and one more
 #: Lines of up to SHORT words show what completes the candidates; lines of at least 0.8 * SHORT words show SHOWN of their rarest words, a share RARE of all; so similar lines have one kind in common.
 SHORT, SHOWN, RARE = 30, 7, 0.3
-#: Words are common from this rank on: some 256 occurrences in the corpus, as the sample has it.
-COMMON = 41
-#: Entries of the table of word counts, and one of how many documents it is counted on; both only order the words.
-RANKS, RANK_SAMPLE = 1 << 20, 16
+#: Words are common above this rank: some 280 occurrences in the corpus.
+COMMON = 48
+#: Entries of the table of word counts, and steps of a rank for each power of two; both only order the words.
+RANKS, STEPS = 1 << 20, 6
+#: One of how many documents tells which shards are cut; that never changes what is compared.
+HOT_SAMPLE = 16
 #: Lines whose words are sorted at a time (their number takes 20 bits), and members of a shard compared at a time.
 SORTED, COMPARED = 1 << 20, 256
 #: Most pairs compared at a time, whatever the size of a shard: memory stays bounded.
@@ -160,10 +162,15 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, dict[str, np.ndarr
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, th, line, h of every line; and rows without doc_id: th occurrences of words whose hashes have the remainder h."""
+    names, sums = ["doc_id", "th", "line", "h"], np.zeros(RANKS, np.int64)
     for batch in batches:
         for lo, hi, x in _parts(batch):
+            sums += np.bincount((x["hashes"] % np.uint64(RANKS)).astype(np.int64), minlength=RANKS)
             own = [batch.column(k).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(x["row"])) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(x["line"].astype(np.int32)), pa.array(x["h"])], ["doc_id", "th", "line", "h"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(x["line"].astype(np.int32)), pa.array(x["h"])], names)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(sums[at]), pa.nulls(len(at), pa.int32()), pa.array(at)], names)
 
 
 def _keyed(docs: DataFrame, ranks) -> DataFrame:
@@ -189,25 +196,11 @@ def _keyed(docs: DataFrame, ranks) -> DataFrame:
     return rows.select("h", "words", *BITS, F.explode("keys").alias("key"))
 
 
-def _ranks(docs: DataFrame) -> np.ndarray:
-    """How common words are, by steps of a tenth of a power of two, for each remainder of their hashes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(RANKS, np.int64)
-        for batch in batches:
-            text = textbuf.strings(batch.column(0))
-            for lo, hi in textbuf.slices(text):
-                data, offsets = textbuf.raw(text.slice(lo, hi - lo))
-                data = _NORMAL[data]
-                starts, ends, _ = textbuf.bounds(data, offsets)
-                sums += np.bincount((textbuf.span_hashes(data, starts, ends) % np.uint64(RANKS)).astype(np.int64), minlength=RANKS)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["at", "n"])
-
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SAMPLE)) == 0).select("text")
-    found = some.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most RANKS rows
+def _ranks(counts: DataFrame) -> np.ndarray:
+    """How common words are, by steps of a STEPS-th of a power of two, for each remainder of their hashes; counts: rows without doc_id of _occurrences."""
+    found = counts.groupBy(F.col("h").cast("int").alias("at")).agg(F.sum("th").alias("n")).toArrow()  # at most RANKS rows
     ranks = np.zeros(RANKS, np.uint8)
-    ranks[found["at"].to_numpy()] = np.minimum(10 * np.log2(found["n"].to_numpy() + 1), 255)
+    ranks[found["at"].to_numpy()] = np.minimum(STEPS * np.log2(found["n"].to_numpy() + 1), 255)
     return ranks
 
 
@@ -394,10 +387,10 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(cheap & F.expr("levenshtein(u_line, v_line, within) >= 0")).select("u", "v")
 
 
-def _links(named: DataFrame) -> DataFrame:
+def _links(named: DataFrame, counts: DataFrame) -> DataFrame:
     """(u, v): links of similar lines that connect all that are connected."""
-    ranks = named.sparkSession.sparkContext.broadcast(_ranks(named))
-    hot = hot_keys(_keyed(named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SAMPLE)) == 1), ranks), RANK_SAMPLE)
+    ranks = named.sparkSession.sparkContext.broadcast(_ranks(counts))
+    hot = hot_keys(_keyed(named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 1), ranks), HOT_SAMPLE)
     met = split_hot(_keyed(named, ranks), "h", hot)
     found = cut(_dealt(met, "h", "words", *BITS).mapInArrow(_candidates, PAIRS), "line-candidates")
     edges = cut(found.filter("v is not null").select("u", "v").distinct(), "line-edges")
@@ -425,9 +418,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (xxhash64 of the text), lines: the numbers of the lines to remove, for texts that lose any; copies: rows of that id and text, for all that have several."""
     prepare(docs.sparkSession)
     named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    seen = cut(named.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences, "doc_id long, th long, line int, h long"), "lines")
+    both = cut(named.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences, "doc_id long, th long, line int, h long"), "lines")
+    seen = both.filter("doc_id is not null")
     nodes = cut(seen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line", "th")).alias("first")), "line-nodes")
-    links = _links(named)
+    links = _links(named, both.filter("doc_id is null"))
     stars = components(links)
     tops = stars.select(F.col("u").alias("h"), F.col("v").alias("top")).unionByName(stars.select(F.col("v").alias("h"), F.col("v").alias("top")).distinct())
     tops = cut(nodes.join(tops, "h", "left").filter("n > 1 or top is not null").select("h", "top", "first"), "line-tops")
@@ -440,7 +434,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     of = seen.select("doc_id", "th", "line", "h").join(gone, "h").filter(~(same("doc_id") & same("line") & same("th")))
     lines = of.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
     out = cut(lines, "line-drops")
-    for table in (seen, nodes, tops, gone, stars):
+    for table in (both, nodes, tops, gone, stars):
         drop_cut(table)
     return out
 

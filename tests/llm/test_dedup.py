@@ -239,3 +239,12 @@ def test_a_full_map_of_lines_loses_nothing(spark, monkeypatch):
     want = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
     monkeypatch.setattr(line_dedup, "MAP_BITS", 64)
     assert sorted(map(str, line_dedup.dedup_lines(docs).collect())) == want
+
+
+def test_words_are_counted_over_all_documents(spark):
+    docs = documents(spark, [f"one line of text{'abcdefghijklmnopqrst'[k]}" for k in range(20)])
+    rows = docs.selectExpr("doc_id", "xxhash64(text) th", "text").mapInArrow(line_dedup._occurrences, "doc_id long, th long, line int, h long")
+    ranks = line_dedup._ranks(rows.filter("doc_id is null"))
+    hashes = line_dedup.lines_of(pa.array(["one texta"], pa.large_string()))["hashes"]
+    assert ranks[(hashes % np.uint64(line_dedup.RANKS)).astype(int)].tolist() == [int(line_dedup.STEPS * np.log2(21)), line_dedup.STEPS]
+    assert rows.filter("doc_id is not null").count() == 20
