@@ -5,10 +5,9 @@ Two lines are similar if the edit distance over their words is at most a fifth o
 LEAST_WORDS words can be similar and not equal. Candidates come from the pigeonhole principle on words in place of SimHash
 bits: similar lines share all but a fifth of their words, so in any order of all words the first floor(n / 5) + L words
 of both lines have their first L shared words among them (prefix filter; repeated words are numbered). Lines of up to
-SHORT words show their rare words of this kind as keys, and pairs of their common ones, so that a key meets few lines: complete.
-Longer lines would show a key for every five words; they show SHOWN of their rarest words, the least by hash (a bottom
-sketch), which similar lines share one of but in a few cases in a thousand at the limit of similarity, and fewer below it.
-The order puts rare words first by counts over all documents. Pairs that meet are dropped early only by bounds that no similar pair
+SHORT words show their rare words of this kind as keys, and pairs of their common ones, so that a key meets few lines.
+Longer lines, and those that can be similar to one, show all words of this kind, a key for every five words. So the
+candidates are complete for lines of all lengths. The order puts rare words first, by counts over all documents. Pairs that meet are dropped early only by bounds that no similar pair
 exceeds: a differing number of words, and two bits of a parity signature an edit.
 Pairs that stay are verified by edit distance over their
 words (each a letter of LETTERS), and verified pairs are linked; of every connected group the first occurrence in
@@ -42,8 +41,8 @@ from ledgerview.llm.components import components, contracted
 from ledgerview.llm.simhash_dedup import hot_keys, split_hot
 
 SIMILARITY, LEAST_WORDS = 0.8, 4  # four words are similar to the same and one more
-#: Lines of up to SHORT words show what completes the candidates; lines of at least 0.8 * SHORT words show SHOWN of their rarest words, a share RARE of all; so similar lines have one kind in common.
-SHORT, SHOWN, RARE = 30, 7, 0.3
+#: Lines of up to SHORT words show pairs in place of their common words; lines of at least 0.8 * SHORT words show single words, also common ones; so similar lines have one kind in common.
+SHORT = 30
 #: Words are common above this rank: some 280 occurrences in the corpus.
 COMMON = 48
 #: Entries of the table of word counts, and steps of a rank for each power of two; both only order the words.
@@ -126,15 +125,9 @@ def _keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.
         spare = size - np.ceil(size * SIMILARITY - 1e-9).astype(np.int64)
         of = owner.astype(np.int64)
         place = at - begin[of]
-        single = (place <= spare[of]) & ~common & (size <= SHORT)[of]
+        single = (place <= spare[of]) & (~common | (size >= SIMILARITY * SHORT)[of])
         lines.append(of[single] + lo)
         found.append(item[single])
-        some = np.flatnonzero((place < np.ceil(size * RARE - 1e-9)[of]) & (size >= SIMILARITY * SHORT)[of])
-        some = some[np.lexsort((textbuf.mix(item[some] + np.uint64(7)), of[some]))]
-        head = np.searchsorted(of[some], of[some])
-        some = some[np.arange(len(some)) - head < SHOWN]
-        lines.append(of[some] + lo)
-        found.append(item[some])
         # the common words among the first spare + 2 are the last of these
         last = np.minimum(size, spare + 2)
         many = np.add.reduceat(common & (place < last[of]), begin) if len(begin) else begin

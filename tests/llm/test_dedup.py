@@ -248,3 +248,25 @@ def test_words_are_counted_over_all_documents(spark):
     hashes = line_dedup.lines_of(pa.array(["one texta"], pa.large_string()))["hashes"]
     assert ranks[(hashes % np.uint64(line_dedup.RANKS)).astype(int)].tolist() == [int(line_dedup.STEPS * np.log2(21)), line_dedup.STEPS]
     assert rows.filter("doc_id is not null").count() == 20
+
+
+def long_pairs(rnd):
+    """Word lists at the limit of similarity, 31 to 300 words long."""
+    vocab = ["".join(chr(97 + int(c)) for c in str(int(rnd.paretovariate(0.5)))) for _ in range(4000)]
+    for n in (31, 33, 36, 40, 50, 75, 150, 300):
+        for _ in range(250 if n < 100 else 40):
+            a = [rnd.choice(vocab) for _ in range(n)]
+            b = list(a)
+            for k in rnd.sample(range(n), line_dedup.within(n)):
+                b[k] = rnd.choice(vocab)
+            yield a, b
+
+
+def test_similar_long_lines_always_share_a_key():
+    for ranks in (np.zeros(1 << 12, np.uint8), np.random.default_rng(1).integers(0, 256, 1 << 12).astype(np.uint8)):
+        missed = 0
+        for a, b in long_pairs(random.Random(2)):
+            x = line_dedup.lines_of(pa.array([" ".join(a), " ".join(b)], pa.large_string()))
+            line, key = line_dedup._keys(x["hashes"], x["words"], ranks)
+            missed += not set(key[line == 0].tolist()) & set(key[line == 1].tolist())
+        assert missed == 0
