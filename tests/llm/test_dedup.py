@@ -270,3 +270,24 @@ def test_similar_long_lines_always_share_a_key():
             line, key = line_dedup._keys(x["hashes"], x["words"], ranks)
             missed += not set(key[line == 0].tolist()) & set(key[line == 1].tolist())
         assert missed == 0
+
+
+def test_long_lines_whose_rarest_words_differ_share_a_key():
+    """Similar lines that differ in all their rarest words: the hardest case of the prefix filter."""
+    rnd = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfglmn" for b in "aeiouy" for c in ("ran", "dor", "vex", "lim", "pos", "tul", "gar", "nev", "kit", "sob")]
+    hashes = line_dedup.lines_of(pa.array([" ".join(words)], pa.large_string()))["hashes"]
+    ranks = np.random.default_rng(3).integers(0, 256, 1 << 12).astype(np.uint8)
+    place = {w: (int(ranks[int(h) % len(ranks)]), int(h)) for w, h in zip(words, hashes, strict=True)}
+    words.sort(key=place.get)
+    missed = 0
+    for n in (31, 40, 60, 100):
+        for _ in range(50):
+            a = rnd.sample(words[100:], n)
+            gone = set(sorted(a, key=place.get)[: line_dedup.within(n)])
+            new = iter(rnd.sample(words[:100], len(gone)))
+            b = [next(new) if w in gone else w for w in a]
+            x = line_dedup.lines_of(pa.array([" ".join(a), " ".join(b)], pa.large_string()))
+            line, key = line_dedup._keys(x["hashes"], x["words"], ranks)
+            missed += not set(key[line == 0].tolist()) & set(key[line == 1].tolist())
+    assert missed == 0
