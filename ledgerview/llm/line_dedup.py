@@ -8,7 +8,8 @@ of both lines have their first L shared words among them (prefix filter; repeate
 SHORT words show their rare words of this kind as keys, and pairs of their common ones, so that a key meets few lines.
 Longer lines, and those that can be similar to one, show all words of this kind, a key for every five words. So the
 candidates are complete for lines of all lengths. The order puts rare words first, by counts over all documents. Pairs that meet are dropped early only by bounds that no similar pair
-exceeds: a differing number of words, and two bits of a parity signature an edit.
+exceeds: a differing number of words, a differing place of the word they meet by, and two bits of a parity signature an edit.
+Keys travel packed, in buckets of bounded size, so that Spark moves few rows and a key takes 22 to 52 bytes.
 Pairs that stay are verified by edit distance over their
 words (each a letter of LETTERS), and verified pairs are linked; of every connected group the first occurrence in
 (doc_id, line) order stays.
@@ -27,8 +28,8 @@ empty text (or blank lines). All other columns stay; n_lines and n_removed of th
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from ledgerview.llm import textbuf
 from ledgerview.llm.common import cut, drop_cut, prepare
 from ledgerview.llm.components import components, contracted
-from ledgerview.llm.simhash_dedup import hot_keys, split_hot
+from ledgerview.llm.simhash_dedup import MOST_HOT, hot_keys
 
 SIMILARITY, LEAST_WORDS = 0.8, 4  # four words are similar to the same and one more
 #: Lines of up to SHORT words show pairs in place of their common words; lines of at least 0.8 * SHORT words show single words, also common ones; so similar lines have one kind in common.
@@ -55,9 +56,17 @@ SORTED, COMPARED = 1 << 20, 256
 CELLS = 1 << 19
 #: Shards of up to LEAF members are compared all at a time; a shard of more than FEW members may have DENSE near pairs a member.
 LEAF, FEW, DENSE = 64, 16, 4
-#: A parity signature has 64 bits for lines of up to 40 words, 128 for up to 90, else 256: so many that others' lines differ in more than an edit's share.
-LEVELS = (40, 90)
-BITS = ["b0", "b1", "b2", "b3"]
+#: A parity signature has 64 bits for lines of up to 62 words, 128 for up to 140, else 256: so many that, beside the places, few of others' lines differ in as little as an edit's share.
+LEVELS = (62, 140)
+#: A key as it travels, for lines of up to that many words: its hash within the bucket, the line, its words, the place of the key's word (the highest number: none), parities.
+_FORMS = [
+    (LEVELS[0], np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "u1"), ("place", "u1"), ("x", "<i8")])),
+    (LEVELS[1], np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "u1"), ("place", "u1"), ("x", "<i8"), ("y", "<i8")])),
+    (254, np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "u1"), ("place", "u1"), ("x", "<i8"), ("y", "<i8"), ("c", "<i8"), ("d", "<i8")])),
+    (1 << 62, np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "<u4"), ("place", "<u4"), ("x", "<i8"), ("y", "<i8"), ("c", "<i8"), ("d", "<i8")])),
+]
+#: Keys that a task holds before it packs them, and about as many as a bucket has.
+HELD = 1 << 20
 #: Parts in which the members of a group meet its first occurrence.
 SALTS = 16
 #: Letters that stand for words when lines are verified, from FIRST_LETTER on.
@@ -103,9 +112,13 @@ def _signs(values: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarr
     return out
 
 
-def _keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) rows in order of lines, for lines of `words` words that follow each other: all that the prefix filter asks for."""
-    lines, found = [], []
+def _placed_keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line, key, place of the key's (first) word, -1 if the line has that word twice: all keys that the prefix filter asks for.
+
+    Of two similar lines, a word that either has twice is shared as often as both have it, any other one if the edits keep it;
+    these are as many as the prefix filter asks for, so lines also meet by a word that stands at places no edits rule out.
+    """
+    lines, found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     ends = np.concatenate([[0], np.cumsum(words)])
     for lo in range(0, len(words), SORTED):
         size = words[lo : lo + SORTED]
@@ -114,7 +127,8 @@ def _keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.
         rank = ranks[(own % np.uint64(len(ranks))).astype(np.int64)].astype(np.uint64)
         owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
         order = owner << np.uint64(44) | rank << np.uint64(36) | own >> np.uint64(28)
-        order.sort()
+        stood = np.argsort(order)
+        order = order[stood]
         at = np.arange(len(order))
         new = np.ones(len(order), bool)
         new[1:] = order[1:] != order[:-1]
@@ -125,9 +139,13 @@ def _keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.
         spare = size - np.ceil(size * SIMILARITY - 1e-9).astype(np.int64)
         of = owner.astype(np.int64)
         place = at - begin[of]
+        once = new.copy()
+        once[:-1] &= new[1:]
+        stood = np.where(once, stood - begin[of], -1)
         single = (place <= spare[of]) & (~common | (size >= SIMILARITY * SHORT)[of])
         lines.append(of[single] + lo)
         found.append(item[single])
+        places.append(stood[single])
         # the common words among the first spare + 2 are the last of these
         last = np.minimum(size, spare + 2)
         many = np.add.reduceat(common & (place < last[of]), begin) if len(begin) else begin
@@ -135,12 +153,17 @@ def _keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.
         for n in np.unique(many[many > 1]):
             some = np.flatnonzero(many == n)
             i, j = np.triu_indices(n, 1)
-            tail = item[(begin + last - n)[some][:, None] + np.arange(n)]
+            where = (begin + last - n)[some][:, None] + np.arange(n)
+            tail = item[where]
             lines.append(np.repeat(some, len(i)) + lo)
             found.append(textbuf.mix(tail[:, i] ^ textbuf.mix(tail[:, j] + np.uint64(1))).ravel())
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    line, key = np.concatenate(lines), np.concatenate(found).view(np.int64)
+            places.append(stood[where][:, i].ravel())
+    return np.concatenate(lines), np.concatenate(found).view(np.int64), np.concatenate(places)
+
+
+def _keys(hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) rows of _placed_keys in order of lines, each once."""
+    line, key, _ = _placed_keys(hashes, words, ranks)
     order = np.lexsort((key, line))
     line, key = line[order], key[order]
     new = np.ones(len(line), bool)
@@ -155,21 +178,26 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, dict[str, np.ndarr
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th, line, h of every line; and rows without doc_id: th occurrences of words whose hashes have the remainder h."""
+    """doc_id, th, line, h of every line; and rows without doc_id, with occurrences of words by the remainders of their hashes.
+
+    The octets of th are the lowest octets of the counts of remainders 8 h to 8 h + 7; from h = RANKS on, th is the rest of the count of h - RANKS.
+    """
     names, sums = ["doc_id", "th", "line", "h"], np.zeros(RANKS, np.int64)
     for batch in batches:
         for lo, hi, x in _parts(batch):
             sums += np.bincount((x["hashes"] % np.uint64(RANKS)).astype(np.int64), minlength=RANKS)
             own = [batch.column(k).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(x["row"])) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(x["line"].astype(np.int32)), pa.array(x["h"])], names)
-    at = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(sums[at]), pa.nulls(len(at), pa.int32()), pa.array(at)], names)
+    low, high = (sums & 255).astype(np.uint8).view("<i8"), np.flatnonzero(sums > 255)
+    few = np.flatnonzero(low)
+    at, n = np.concatenate([few, high + RANKS]), np.concatenate([low[few], sums[high] & ~255])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(n), pa.nulls(len(at), pa.int32()), pa.array(at)], names)
 
 
-def _keyed(docs: DataFrame, ranks) -> DataFrame:
-    """h, words, bits (parity signature), key: the keys of every different line of a partition that can be similar to another."""
+def _keyed(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, ...]]]:
+    """A function from batches of texts to line (h), words, place, four parities, and key: of every different line of a partition that can be similar to another."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
             for _, _, x in _parts(batch):
@@ -180,21 +208,110 @@ def _keyed(docs: DataFrame, ranks) -> DataFrame:
                 size = x["words"][at]
                 begin = np.cumsum(size) - size
                 words = x["hashes"][np.repeat(x["first"][at] - begin, size) + np.arange(size.sum())]
-                of, key = _keys(words, size, ranks.value)
+                of, key, place = _placed_keys(words, size, ranks.value)
                 bits = _signs(words >> np.uint64(56), begin, size)
-                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(at) + 1)).astype(np.int32)), pa.array(key))
-                yield pa.RecordBatch.from_arrays([pa.array(x["h"][at]), pa.array(size.astype(np.int32)), *(pa.array(b) for b in bits.T), keys], ["h", "words", *BITS, "keys"])
-
-    rows = docs.select("text").mapInArrow(read, "h long, words int, " + "".join(f"{b} long, " for b in BITS) + "keys array<long>")
-    return rows.select("h", "words", *BITS, F.explode("keys").alias("key"))
+                yield x["h"][at][of], size[of], place, *bits[of].T, key
+
+    return read
+
+
+def _sampled_keys(docs: DataFrame, ranks) -> DataFrame:
+    """key, once for each line of a partition that shows it."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, key in _keyed(ranks)(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+
+    return docs.select("text").mapInArrow(keys, "key long")
+
+
+def _split(hot: tuple[np.ndarray, np.ndarray], h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard): the shards of each key; a hot key is cut into parts, and each pair of parts is a shard."""
+    keys, parts = hot
+    row = np.arange(len(key))
+    if not len(keys):
+        return row, key
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    many = np.where(keys[at] == key, parts[at], 1)
+    if (many == 1).all():
+        return row, key
+    row = np.repeat(row, many)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    mine = (textbuf.mix(h.view(np.uint64)) % many.astype(np.uint64)).astype(np.int64)[row]
+    pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(np.uint64)
+    own = key[row].view(np.uint64)
+    return row, np.where(many[row] == 1, own, textbuf.mix(own + textbuf.mix(pair))).view(np.int64)
+
+
+def _packed(docs: DataFrame, ranks, hot, labels: np.ndarray) -> DataFrame:
+    """bucket, form, rows: the keys of all lines, packed as _FORMS; labels has the numbers of the buckets."""
+
+    def pack(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, words, place, *bits, shard = (np.concatenate(c) for c in zip(*held, strict=True))
+        own = shard.view(np.uint64)
+        bucket = ((own & np.uint64(0xFFFFFFFF)) % np.uint64(len(labels))).astype(np.int64)
+        least = 0
+        for k, (most, form) in enumerate(_FORMS):
+            at = np.flatnonzero((words > least) & (words <= most))
+            at = at[np.argsort(bucket[at], kind="stable")]
+            least = most
+            rows = np.empty(len(at), form)
+            rows["key"], rows["h"], rows["words"] = own[at] >> np.uint64(32), h[at], words[at]
+            rows["place"] = np.where(place[at] < 0, np.iinfo(form["place"]).max, place[at])
+            for name, b in zip(form.names[4:], bits, strict=False):
+                rows[name] = b[at]
+            some, first = np.unique(bucket[at], return_index=True)
+            ends = pa.array(np.append(first, len(at)).astype(np.int32) * np.int32(form.itemsize))
+            cells = pa.Array.from_buffers(pa.binary(), len(some), [None, ends.buffers()[1], pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[some]), pa.array(np.full(len(some), k, np.int32)), cells], ["bucket", "form", "rows"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for h, *more, key in _keyed(ranks)(batches):
+            row, shard = _split(hot.value, h, key)
+            # a slice of lines under hot keys may have many rows
+            for lo in range(0, len(row), HELD):
+                at = row[lo : lo + HELD]
+                held.append((h[at], *(c[at] for c in more), shard[lo : lo + HELD]))
+                n += len(at)
+                if n >= HELD:
+                    yield from pack(held)
+                    held, n = [], 0
+        if held:
+            yield from pack(held)
+
+    return docs.select("text").mapInArrow(packed, "bucket int, form int, rows binary")
+
+
+def _labels(spark, parts: int, many: int) -> np.ndarray:
+    """Numbers of buckets, `many` for each of as many partitions as Spark deals to by hash."""
+    ids = spark.range(4 * parts * (many + 8)).select(F.col("id").cast("int").alias("id"))
+    found = ids.select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).toArrow()  # some numbers for each bucket
+    ids, p = found["id"].to_numpy(), found["p"].to_numpy()
+    order = np.lexsort((ids, p))
+    ids, p = ids[order], p[order]
+    return ids[np.arange(len(p)) - np.searchsorted(p, p) < many]
+
+
+def _totals(counts: DataFrame) -> np.ndarray:
+    """Occurrences of words for each remainder of their hashes; counts: rows without doc_id of _occurrences."""
+    octets = [F.sum(F.shiftrightunsigned("th", 8 * k).bitwiseAND(F.lit(255).cast("long"))).alias(f"n{k}") for k in range(8)]
+    found = counts.groupBy("h").agg(*octets).toArrow()  # at most RANKS / 8 rows, and one for each frequent remainder
+    at, sums = found["h"].to_numpy(), np.stack([found[f"n{k}"].to_numpy() for k in range(8)], axis=1)
+    totals, rest = np.zeros((RANKS // 8, 8), np.int64), at >= RANKS
+    totals[at[~rest]] = sums[~rest]
+    totals = totals.ravel()
+    totals[at[rest] - RANKS] += (sums[rest] << np.arange(0, 64, 8)).sum(axis=1)
+    return totals
+
+
+def _ranked(totals: np.ndarray) -> np.ndarray:
+    """How common words are, by steps of a STEPS-th of a power of two."""
+    return np.minimum(STEPS * np.log2(totals + 1), 255).astype(np.uint8)
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
-    """How common words are, by steps of a STEPS-th of a power of two, for each remainder of their hashes; counts: rows without doc_id of _occurrences."""
-    found = counts.groupBy(F.col("h").cast("int").alias("at")).agg(F.sum("th").alias("n")).toArrow()  # at most RANKS rows
-    ranks = np.zeros(RANKS, np.uint8)
-    ranks[found["at"].to_numpy()] = np.minimum(STEPS * np.log2(found["n"].to_numpy() + 1), 255)
-    return ranks
+    return _ranked(_totals(counts))
 
 
 PAIRS = "u long, v long, shard long"
@@ -224,6 +341,11 @@ def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield held
 
 
+def _aligned(place: np.ndarray, rest: np.ndarray, other: np.ndarray, left: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Whether lines may be similar and keep the word that stands at these places (-1: any) with so many words from there on: edits before and after it make up for the differences."""
+    return (np.abs(place - other) + np.abs(rest - left) <= spare) | (place < 0) | (other < 0)
+
+
 def _near(bits: np.ndarray, words: np.ndarray, other: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Whether lines may be similar: no similar pair fails. An edit changes the number of words by one and the parity of two bits at most."""
     most, least = np.maximum(words, many), np.minimum(words, many)
@@ -238,45 +360,86 @@ def _near(bits: np.ndarray, words: np.ndarray, other: np.ndarray, many: np.ndarr
     return (apart <= 2 * spare) & (most - least <= spare)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All near pairs of small shards, and of larger ones while they are few; else one or two of each member, and the members for the second pass."""
-    for shard, h, words, *bits in _whole_shards(batches):
-        order = np.lexsort((h, shard))
-        shard, h = shard[order], h[order]
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """shard, h, words, place, bits of the keys of one bucket after the other, sorted by shard, words and h; a line comes once."""
+
+    def opened(held: list[list[memoryview]]) -> list[np.ndarray]:
+        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+        bits = np.zeros((sum(len(x) for rows in held for x in rows) // _FORMS[0][1].itemsize, 4), np.int64)
+        n = 0
+        for rows, (_, form) in zip(held, _FORMS, strict=True):
+            some = np.frombuffer(b"".join(rows), form)
+            place = some["place"].astype(np.int64)
+            place[some["place"] == np.iinfo(form["place"]).max] = -1
+            for k, name in enumerate(form.names[4:]):
+                bits[n : n + len(some), k] = some[name]
+            n += len(some)
+            for part, c in zip(parts, (some["key"].astype(np.int64), some["h"], some["words"].astype(np.int64), place), strict=True):
+                part.append(c)
+        shard, h, words, place = (np.concatenate(c) for c in parts)
+        order = np.lexsort((h, shard << 31 | np.minimum(words, (1 << 31) - 1)))
+        shard, h, words, place, bits = shard[order], h[order], words[order], place[order], bits[order]
         new = np.ones(len(h), bool)
         new[1:] = (shard[1:] != shard[:-1]) | (h[1:] != h[:-1])  # a line comes once from each partition that has it
-        shard, h, words, bits = shard[new], h[new], words[order][new], np.stack(bits, axis=1)[order][new]
+        kept = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        moved = place != place[first][kept]
+        place = place[first]
+        place[kept[moved]] = -1  # keys that only share a number
+        return [shard[first], h[first], words[first], place, bits[first]]
+
+    now, held = None, [[] for _ in _FORMS]
+    for batch in batches:
+        for bucket, form, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and now is not None:
+                yield opened(held)
+                held = [[] for _ in _FORMS]
+            now = bucket
+            held[form].append(rows)
+    if now is not None:
+        yield opened(held)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All near pairs of small shards, and of larger ones while they are few; else one or two of each member, and the members for the second pass."""
+    for shard, h, words, place, bits in _buckets(batches):
         cuts = np.flatnonzero(np.diff(shard)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(shard)]])
         size = ends - starts
         of = np.repeat(np.arange(len(size)), size)
-        few = np.flatnonzero(size[of] <= LEAF)
-        k, w, s = of[few], words[few], bits[few]
+        spare, rest = words - np.ceil(words * SIMILARITY - 1e-9).astype(np.int64), words - place
+        few = np.flatnonzero((size[of] <= LEAF) & (size[of] > 1))
+        k, w, p, r, e, s = of[few], words[few], place[few], rest[few], spare[few], bits[few]
         left, right, at = [], [], np.arange(len(k))
         for d in range(1, LEAF):
             at = at[at < len(k) - d]
-            at = at[k[at] == k[at + d]]  # rows whose shard goes on that far
-            some = at[np.minimum(w[at], w[at + d]) >= SIMILARITY * np.maximum(w[at], w[at + d]) - 1e-9]
+            # rows whose shard goes on that far, and not to longer lines only
+            at = at[(k[at] == k[at + d]) & (w[at] >= w[at + d] - e[at + d])]
+            if not len(at):
+                break
+            some = at[_aligned(p[at], r[at], p[at + d], r[at + d], e[at + d])]
             hit = some[_near(s[some], w[some], s[some + d], w[some + d])]
             left.append(few[hit])
             right.append(few[hit + d])
-        left, right = np.concatenate(left or [few]), np.concatenate(right or [few])
+        left, right = np.concatenate(left or [few[:0]]), np.concatenate(right or [few[:0]])
         dense = (np.bincount(of[left], minlength=len(size)) > DENSE * size) & (size > FEW)
-        hit = ~dense[of[left]] & (left != right)
+        hit = ~dense[of[left]]
         if hit.any():
             yield _rows(*_ordered(h[left[hit]], h[right[hit]]))
         for lo, hi in zip(starts[dense | (size > LEAF)], ends[dense | (size > LEAF)], strict=True):
-            order = np.lexsort((h[lo:hi], words[lo:hi]))
-            own, many, sign = h[lo:hi][order], words[lo:hi][order], bits[lo:hi][order]
+            own, many, sign = h[lo:hi], words[lo:hi], bits[lo:hi]
+            stood, after, most = (x[lo:hi].astype(np.int32) for x in (place, rest, spare))
             total, lower, upper, pairs = 0, np.full(hi - lo, -1), np.full(hi - lo, -1), []
             step = max(1, min(COMPARED, CELLS // (hi - lo)))
             for x in range(0, hi - lo, step):
                 y = min(x + step, hi - lo)
                 stop = int(np.searchsorted(many, many[y - 1] / SIMILARITY + 1))
-                hit = _near(sign[x:y, None, :], many[x:y, None], sign[None, x:stop, :], many[None, x:stop])
+                hit = _aligned(stood[x:y, None], after[x:y, None], stood[None, x:stop], after[None, x:stop], most[None, x:stop])
                 hit &= np.arange(x, stop)[None, :] > np.arange(x, y)[:, None]
                 i, j = np.nonzero(hit)
                 i, j = i + x, j + x
+                met = _near(sign[i], many[i], sign[j], many[j])
+                i, j = i[met], j[met]
                 total += len(i)
                 upper[i[::-1]] = j[::-1]
                 fresh = lower[j] < 0
@@ -286,7 +449,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if total > DENSE * (hi - lo):
                 i, j = np.flatnonzero(upper >= 0), np.flatnonzero(lower >= 0)
                 pairs = [(i, upper[i]), (j, lower[j])]
-                yield _rows(own, None, np.full(hi - lo, shard[lo]))
+                # the members' shard is told by their common key: one number for the bucket's key and its least line
+                near = np.flatnonzero((upper >= 0) | (lower >= 0))
+                name = textbuf.mix(own[near[:1]].view(np.uint64) + textbuf.mix(shard[lo : lo + 1].astype(np.uint64))).view(np.int64)
+                yield _rows(own[near], None, np.repeat(name, len(near)))
             for i, j in pairs:
                 if len(i):
                     yield _rows(*_ordered(own[i], own[j]))
@@ -322,24 +488,39 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(shard)]]), strict=True):
             _, own = np.unique(group[lo:hi], return_inverse=True)
             many = np.fromiter(map(len, code[lo:hi]), np.int64, hi - lo)
-            bits = _signs(np.frombuffer("".join(code[lo:hi]).encode("utf-32-le"), np.uint32).astype(np.uint64) & np.uint64(255), np.cumsum(many) - many, many)
+            letters, word = np.unique(np.frombuffer("".join(code[lo:hi]).encode("utf-32-le"), np.uint32), return_inverse=True)
+            # the members' words and how often they have them
+            held, often = np.unique(np.repeat(np.arange(hi - lo), many) * len(letters) + word, return_counts=True)
+            begin = np.searchsorted(held, np.arange(hi - lo + 1) * len(letters))
+            word = held % len(letters)
+            asked = np.zeros(len(letters), np.int64)
             large = np.bincount(own).argmax()
             # members of the largest group need no turn of their own: every link between groups has another end
             for k in np.flatnonzero(own != large).tolist():
-                rest = np.flatnonzero(own != own[k])
-                rest = rest[_near(bits[rest], many[rest], bits[k], many[k])]
-                for at in rest.tolist():
+                mine = slice(begin[k], begin[k + 1])
+                asked[word[mine]] = often[mine]
+                shared = np.add.reduceat(np.minimum(asked[word], often), begin[:-1])
+                asked[word[mine]] = 0
+                # as many words are shared as edits keep, or more
+                rest = np.flatnonzero((own != own[k]) & (shared >= np.maximum(many, many[k]) * SIMILARITY - 1e-9))
+                for at in rest[np.argsort(-shared[rest], kind="stable")].tolist():
                     if own[at] != own[k]:
                         one, two = code[lo + at], code[lo + k]
-                        n = max(len(one), len(two))
-                        shared = sum((Counter(one) & Counter(two)).values())
-                        if n - shared <= within(n) and edits(one, two) <= within(n):
+                        if edits(*_inner(one, two)) <= within(max(len(one), len(two))):
                             own[own == own[at]] = own[k]
                             yield _rows(*_ordered(h[lo + at : lo + at + 1], h[lo + k : lo + k + 1]))
                 if (own == own[k]).all():
                     break
 
 
+def _inner(a: str, b: str) -> tuple[str, str]:
+    """a and b without what both begin or end with."""
+    first = len(os.path.commonprefix([a, b]))
+    a, b = a[first:], b[first:]
+    last = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    return a[: len(a) - last], b[: len(b) - last]
+
+
 def _dealt(rows: DataFrame, *names: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "shard").sortWithinPartitions("shard").select("shard", *names)
@@ -380,23 +561,54 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(cheap & F.expr("levenshtein(u_line, v_line, within) >= 0")).select("u", "v")
 
 
+def _freed(spark) -> None:
+    """Have Spark delete the shuffle files of steps that have ended: it does so when their plans are collected, which a driver with little garbage does late."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _links(named: DataFrame, counts: DataFrame) -> DataFrame:
     """(u, v): links of similar lines that connect all that are connected."""
-    ranks = named.sparkSession.sparkContext.broadcast(_ranks(counts))
-    hot = hot_keys(_keyed(named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 1), ranks), HOT_SAMPLE)
-    met = split_hot(_keyed(named, ranks), "h", hot)
-    found = cut(_dealt(met, "h", "words", *BITS).mapInArrow(_candidates, PAIRS), "line-candidates")
+    spark = named.sparkSession
+    totals = _totals(counts)
+    ranks = spark.sparkContext.broadcast(_ranked(totals))
+    some = hot_keys(_sampled_keys(named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 1), ranks), HOT_SAMPLE)
+    hot = some.orderBy(F.desc("parts"), "key").limit(MOST_HOT).toArrow().sort_by("key")  # a hot key that is not cut is compared in one task
+    drop_cut(some)
+    hot = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["parts"].to_numpy().astype(np.int64)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _freed(spark)
+    labels = _labels(spark, parts, 1 + int(totals.sum() * (1 - SIMILARITY)) // (parts * HELD))
+    met = _packed(named, ranks, hot, labels).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = cut(met.mapInArrow(_candidates, PAIRS), "line-candidates")
+    del met
     edges = cut(found.filter("v is not null").select("u", "v").distinct(), "line-edges")
+    _freed(spark)
     texts = cut(_texts(named, edges), "line-texts")
-    links = cut(_verified(edges, texts), "line-links")
+    _freed(spark)
+    # one edge of each line tells most of what is connected; of the others only those between groups are left to verify
+    links = cut(_verified(edges.groupBy("u").agg(F.min("v").alias("v")), texts), "line-links")
+    _freed(spark)
+    stars = contracted(links, 2)
+    group = stars.groupBy(F.col("u").alias("h")).agg(F.min("v").alias("g"))
+    both = edges
+    for k in "uv":
+        both = both.join(group.select(F.col("h").alias(k), F.col("g").alias(f"g{k}")), k, "left")
+    rest = cut(both.filter("coalesce(gu, u) != coalesce(gv, v)").select("u", "v"), "line-edges")
     drop_cut(edges)
+    drop_cut(stars)
+    links = links.unionByName(cut(_verified(rest, texts), "line-links"))
+    drop_cut(rest)
+    _freed(spark)
     large = found.filter("v is null").select("shard", F.col("u").alias("h"))
     if large.limit(1).count():
         # some rounds tell most of what is connected; what they miss is only verified once more
         links = contracted(links, 2)
         group = links.groupBy(F.col("u").alias("h")).agg(F.min("v").alias("g"))
         large = cut(large.join(group, "h", "left").withColumn("g", F.coalesce("g", "h")), "line-members")
-        open_ = large.groupBy("shard").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a < b").select("shard")
+        # of shards with the same members (by count and 128 bits) one is enough
+        same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")]
+        open_ = large.groupBy("shard").agg(F.min("g").alias("a"), F.max("g").alias("b"), *same).filter("a < b")
+        open_ = open_.groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard")
         # a member without a candidate has no text here and no near pair in any shard
         rest = large.join(open_, "shard", "left_semi").join(texts, "h")
         new = cut(_dealt(rest, "h", "g", "line").mapInArrow(_across, PAIRS).select("u", "v"), "line-links")

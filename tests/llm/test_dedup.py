@@ -291,3 +291,45 @@ def test_long_lines_whose_rarest_words_differ_share_a_key():
             line, key = line_dedup._keys(x["hashes"], x["words"], ranks)
             missed += not set(key[line == 0].tolist()) & set(key[line == 1].tolist())
     assert missed == 0
+
+
+def test_keys_travel_packed_and_lose_no_similar_pair(spark, monkeypatch):
+    """Every similar pair shares a packed key at places and with parities that no bound rules out, also under hot keys."""
+    monkeypatch.setattr(line_dedup, "HELD", 64)
+    rnd = random.Random(4)
+    own = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(2)) for _ in range(400)]
+    lines = []
+    for n in (4, 5, 9, 10, 20, 31, 62, 63, 75, 140, 150, 260, 300):
+        base = [rnd.choice(own[:40] if n % 2 else own) for _ in range(n)]
+        lines += [base, *(changed(rnd, base, own) for _ in range(4))]
+        lines.append(base[1:] + base[:1])
+    docs = documents(spark, [" ".join(x) for x in lines])
+    h = [int(line_dedup.lines_of(pa.array([" ".join(x)], pa.large_string()))["h"][0]) for x in lines]
+    want = {tuple(sorted((h[i], h[j]))) for i in range(len(lines)) for j in range(i) if h[i] != h[j] and line_dedup.edits(lines[i], lines[j]) <= line_dedup.within(max(len(lines[i]), len(lines[j])))}
+    ranks = spark.sparkContext.broadcast(np.random.default_rng(2).integers(0, 100, 1 << 12).astype(np.uint8))
+    labels = line_dedup._labels(spark, 3, 2)
+    assert len(set(labels.tolist())) == 6
+    sampled = sorted({r.key for r in line_dedup._sampled_keys(docs, ranks).collect()})
+    for keys in ([], sampled[::2]):
+        hot = spark.sparkContext.broadcast((np.array(keys, np.int64), np.full(len(keys), 3)))
+        packed = line_dedup._packed(docs, ranks, hot, labels)
+        rows = packed.collect()
+        n = sum(len(r.rows) // line_dedup._FORMS[r.form][1].itemsize for r in rows)
+        # Spark's own rows of six numbers took 40 bytes a key in shuffle files, for short lines too
+        assert n >= len(sampled) and sum(len(r.rows) for r in rows if r.form < 2) <= 30 * n
+        for leaf in (64, 2):
+            monkeypatch.setattr(line_dedup, "LEAF", leaf)
+            monkeypatch.setattr(line_dedup, "DENSE", 1 << 20)
+            batches = packed.sortWithinPartitions("bucket").toArrow().sort_by("bucket").to_batches()
+            got = {tuple(sorted(p)) for b in line_dedup._candidates(iter(batches)) for p in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)}
+            assert len(want) > 60 and want <= got, len(want - got)
+
+
+def test_word_counts_take_few_rows(spark):
+    """Eight counts travel in one row, also counts above an octet: a row for each word before."""
+    docs = documents(spark, [" ".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" * 13) + " often" * 70000])
+    rows = docs.coalesce(1).selectExpr("doc_id", "xxhash64(text) th", "text").mapInArrow(line_dedup._occurrences, "doc_id long, th long, line int, h long").filter("doc_id is null")
+    totals = line_dedup._totals(rows)
+    at = lambda w: int(line_dedup.lines_of(pa.array([w], pa.large_string()))["hashes"][0] % np.uint64(line_dedup.RANKS))
+    assert totals.sum() == 8000 * 13 + 70000 and totals[at("often")] == 70000 + 13 * sum(at(f"{a}{b}{c}") == at("often") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst")
+    assert rows.count() <= 7995
