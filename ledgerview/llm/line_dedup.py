@@ -9,7 +9,7 @@ SHORT words show their rare words of this kind as keys, and pairs of their commo
 Longer lines, and those that can be similar to one, show all words of this kind, a key for every five words. So the
 candidates are complete for lines of all lengths. The order puts rare words first, by counts over all documents. Pairs that meet are dropped early only by bounds that no similar pair
 exceeds: a differing number of words, a differing place of the word they meet by, and two bits of a parity signature an edit.
-Keys travel packed, in buckets of bounded size, so that Spark moves few rows and a key takes 22 to 52 bytes.
+Keys travel packed, in buckets of bounded size and PASSES parts, so that Spark moves few rows and a key takes 22 to 84 bytes.
 Pairs that stay are verified by edit distance over their
 words (each a letter of LETTERS), and verified pairs are linked; of every connected group the first occurrence in
 (doc_id, line) order stays.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +57,23 @@ SORTED, COMPARED = 1 << 20, 256
 CELLS = 1 << 19
 #: Shards of up to LEAF members are compared all at a time; a shard of more than FEW members may have DENSE near pairs a member.
 LEAF, FEW, DENSE = 64, 16, 4
-#: A parity signature has 64 bits for lines of up to 62 words, 128 for up to 140, else 256: so many that, beside the places, few of others' lines differ in as little as an edit's share.
-LEVELS = (62, 140)
+#: A parity signature has 64 bits for lines of up to LEVELS[0] words, then twice as many a level: some one and a half bits a word or more up to 340 words, so that hardly any of others' lines differ in as little as an edit's share.
+LEVELS = (45, 80, 160)
+#: Numbers of 64 bits of the longest signature.
+SIGNS = 1 << len(LEVELS)
 #: A key as it travels, for lines of up to that many words: its hash within the bucket, the line, its words, the place of the key's word (the highest number: none), parities.
 _FORMS = [
-    (LEVELS[0], np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "u1"), ("place", "u1"), ("x", "<i8")])),
-    (LEVELS[1], np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "u1"), ("place", "u1"), ("x", "<i8"), ("y", "<i8")])),
-    (254, np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "u1"), ("place", "u1"), ("x", "<i8"), ("y", "<i8"), ("c", "<i8"), ("d", "<i8")])),
-    (1 << 62, np.dtype([("key", "<u4"), ("h", "<i8"), ("words", "<u4"), ("place", "<u4"), ("x", "<i8"), ("y", "<i8"), ("c", "<i8"), ("d", "<i8")])),
+    (most, np.dtype([("key", "<u4"), ("h", "<i8"), ("words", size), ("place", size), *((f"s{k}", "<i8") for k in range(signs))]))
+    for most, size, signs in (*((most, "u1", 1 << k) for k, most in enumerate((*LEVELS, 254))), (1 << 62, "<u4", SIGNS))
 ]
 #: Keys that a task holds before it packs them, and about as many as a bucket has.
 HELD = 1 << 20
+#: Parts of all keys that travel one after the other, so that the disk holds one of them at a time; the texts are read once for each.
+PASSES = 2
 #: Parts in which the members of a group meet its first occurrence.
 SALTS = 16
+#: Pairs for each line with a text that are verified at a time: each travels with a text, so disk follows the texts, not the pairs.
+LOT = 2
 #: Letters that stand for words when lines are verified, from FIRST_LETTER on.
 LETTERS, FIRST_LETTER = 1_000_000, 0x10000
 #: Most bits of the map through which the second scan picks lines, 4 MB at the driver at any size; it has 32 bits a line below that. A full map picks more lines, and the join that follows drops them.
@@ -96,19 +101,23 @@ def lines_of(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _signs(values: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Parity signatures of runs of values: which of the numbers 0 to 255 occur an odd number of times.
+    """Parity signatures of runs of values: which of the numbers 0 to 64 * SIGNS - 1 occur an odd number of times.
 
-    The columns are x, y, c, d, with x the sum (exclusive or) of all four words of the signature, y that of the second and
-    fourth, c the third, d the fourth; shorter signatures are sums of longer ones, so lines of different lengths compare.
+    Column 0 is the sum (exclusive or) of all numbers of 64 bits; columns k to 2 k - 1, for each power of two k, are the
+    upper half of the 2 k sums of numbers at the same remainder by 2 k. So a shorter signature is the beginning of a longer
+    one, and lines of different lengths compare.
     """
-    out = np.zeros((len(begin), 4), np.int64)
+    out = np.zeros((len(begin), SIGNS), np.int64)
     if len(begin):
         one = np.uint64(1) << (values.astype(np.uint64) & np.uint64(63))
-        of = (values >> np.uint64(6)).astype(np.int64) & 3
-        word = [np.bitwise_xor.reduceat(np.where(of == k, one, np.uint64(0)), begin).view(np.int64) for k in range(4)]
-        out[:, 0] = word[0] ^ word[1] ^ word[2] ^ word[3]
-        out[:, 1] = np.where(words > LEVELS[0], word[1] ^ word[3], 0)
-        out[:, 2], out[:, 3] = (np.where(words > LEVELS[1], word[k], 0) for k in (2, 3))
+        of = (values >> np.uint64(6)).astype(np.int64) % SIGNS
+        sums = [np.bitwise_xor.reduceat(np.where(of == k, one, np.uint64(0)), begin).view(np.int64) for k in range(SIGNS)]
+        for level in range(len(LEVELS), 0, -1):
+            half = 1 << (level - 1)
+            for k in range(half):
+                out[:, half + k] = np.where(words > LEVELS[level - 1], sums[half + k], 0)
+            sums = [sums[k] ^ sums[half + k] for k in range(half)]
+        out[:, 0] = sums[0]
     return out
 
 
@@ -195,7 +204,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, ...]]]:
-    """A function from batches of texts to line (h), words, place, four parities, and key: of every different line of a partition that can be similar to another."""
+    """A function from batches of texts to line (h), words, place, the columns of its signature, and key: of every different line of a partition that can be similar to another."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen = np.zeros(0, np.int64)
@@ -209,7 +218,7 @@ def _keyed(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndar
                 begin = np.cumsum(size) - size
                 words = x["hashes"][np.repeat(x["first"][at] - begin, size) + np.arange(size.sum())]
                 of, key, place = _placed_keys(words, size, ranks.value)
-                bits = _signs(words >> np.uint64(56), begin, size)
+                bits = _signs(words >> np.uint64(48), begin, size)
                 yield x["h"][at][of], size[of], place, *bits[of].T, key
 
     return read
@@ -243,8 +252,8 @@ def _split(hot: tuple[np.ndarray, np.ndarray], h: np.ndarray, key: np.ndarray) -
     return row, np.where(many[row] == 1, own, textbuf.mix(own + textbuf.mix(pair))).view(np.int64)
 
 
-def _packed(docs: DataFrame, ranks, hot, labels: np.ndarray) -> DataFrame:
-    """bucket, form, rows: the keys of all lines, packed as _FORMS; labels has the numbers of the buckets."""
+def _packed(docs: DataFrame, ranks, hot, labels: np.ndarray, turn: int = 0, passes: int = 1) -> DataFrame:
+    """bucket, form, rows: the keys of all lines that have their turn, packed as _FORMS; labels has the numbers of the buckets."""
 
     def pack(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, words, place, *bits, shard = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -269,6 +278,8 @@ def _packed(docs: DataFrame, ranks, hot, labels: np.ndarray) -> DataFrame:
         held, n = [], 0
         for h, *more, key in _keyed(ranks)(batches):
             row, shard = _split(hot.value, h, key)
+            mine = (shard.view(np.uint64) >> np.uint64(32)) % np.uint64(passes) == turn  # the other half tells the bucket
+            row, shard = row[mine], shard[mine]
             # a slice of lines under hot keys may have many rows
             for lo in range(0, len(row), HELD):
                 at = row[lo : lo + HELD]
@@ -346,18 +357,26 @@ def _aligned(place: np.ndarray, rest: np.ndarray, other: np.ndarray, left: np.nd
     return (np.abs(place - other) + np.abs(rest - left) <= spare) | (place < 0) | (other < 0)
 
 
-def _near(bits: np.ndarray, words: np.ndarray, other: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Whether lines may be similar: no similar pair fails. An edit changes the number of words by one and the parity of two bits at most."""
-    most, least = np.maximum(words, many), np.minimum(words, many)
+def _near(bits: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether lines i and j may be similar: no similar pair fails. An edit changes the number of words by one and the parity of two bits at most."""
+    most, least = np.maximum(words[i], words[j]), np.minimum(words[i], words[j])
     spare = most - np.ceil(most * SIMILARITY - 1e-9).astype(most.dtype)
-    x, y, c, d = ((bits[..., k] ^ other[..., k]).view(np.uint64) for k in range(4))
-    count = lambda z: np.bitwise_count(z).astype(np.int16)
-    apart = count(x)
-    if least.max(initial=0) > LEVELS[0]:
-        apart = np.where(least > LEVELS[0], count(x ^ y) + count(y), apart)
-    if least.max(initial=0) > LEVELS[1]:
-        apart = np.where(least > LEVELS[1], count(x ^ y ^ c) + count(y ^ d) + count(c) + count(d), apart)
-    return (apart <= 2 * spare) & (most - least <= spare)
+    near = most - least <= spare
+    at = np.flatnonzero(near)
+    apart = lambda k: bits[i[at], k] ^ bits[j[at], k]
+    sums = [apart(0)]
+    for level in range(SIGNS.bit_length()):
+        if level:  # pairs that short signatures do not tell apart, of lines that have longer ones
+            long = least[at] > LEVELS[level - 1]
+            at, sums = at[long], [x[long] for x in sums]
+            upper = [apart(len(sums) + k) for k in range(len(sums))]
+            sums = [x ^ y for x, y in zip(sums, upper, strict=True)] + upper
+        if not len(at):
+            break
+        met = sum(np.bitwise_count(x.view(np.uint64)).astype(np.int64) for x in sums) <= 2 * spare[at]
+        near[at[~met]] = False
+        at, sums = at[met], [x[met] for x in sums]
+    return near
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -365,7 +384,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
     def opened(held: list[list[memoryview]]) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in range(4)]
-        bits = np.zeros((sum(len(x) for rows in held for x in rows) // _FORMS[0][1].itemsize, 4), np.int64)
+        bits = np.zeros((sum(len(x) for rows in held for x in rows) // _FORMS[0][1].itemsize, SIGNS), np.int64)
         n = 0
         for rows, (_, form) in zip(held, _FORMS, strict=True):
             some = np.frombuffer(b"".join(rows), form)
@@ -418,7 +437,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             some = at[_aligned(p[at], r[at], p[at + d], r[at + d], e[at + d])]
-            hit = some[_near(s[some], w[some], s[some + d], w[some + d])]
+            hit = some[_near(s, w, some, some + d)]
             left.append(few[hit])
             right.append(few[hit + d])
         left, right = np.concatenate(left or [few[:0]]), np.concatenate(right or [few[:0]])
@@ -438,7 +457,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit &= np.arange(x, stop)[None, :] > np.arange(x, y)[:, None]
                 i, j = np.nonzero(hit)
                 i, j = i + x, j + x
-                met = _near(sign[i], many[i], sign[j], many[j])
+                met = _near(sign, many, i, j)
                 i, j = i[met], j[met]
                 total += len(i)
                 upper[i[::-1]] = j[::-1]
@@ -561,6 +580,17 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(cheap & F.expr("levenshtein(u_line, v_line, within) >= 0")).select("u", "v")
 
 
+def _verified_by_lots(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """_verified, at most some LOT pairs for each of the texts at a time; edges and texts are tables."""
+    lots = 1 + edges.count() // (LOT * texts.count() + 1)
+    lot = F.pmod(F.xxhash64("u", "v"), F.lit(lots))
+    found = []
+    for k in range(lots):
+        found.append(cut(_verified(edges.filter(lot == k) if lots > 1 else edges, texts), "line-links"))
+        _freed(edges.sparkSession)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _freed(spark) -> None:
     """Have Spark delete the shuffle files of steps that have ended: it does so when their plans are collected, which a driver with little garbage does late."""
     spark.sparkContext._jvm.System.gc()
@@ -577,10 +607,14 @@ def _links(named: DataFrame, counts: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["parts"].to_numpy().astype(np.int64)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _freed(spark)
-    labels = _labels(spark, parts, 1 + int(totals.sum() * (1 - SIMILARITY)) // (parts * HELD))
-    met = _packed(named, ranks, hot, labels).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = cut(met.mapInArrow(_candidates, PAIRS), "line-candidates")
-    del met
+    labels = _labels(spark, parts, 1 + int(totals.sum() * (1 - SIMILARITY)) // (parts * HELD * PASSES))
+    tables = []
+    for turn in range(PASSES):
+        met = _packed(named, ranks, hot, labels, turn, PASSES).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        tables.append(cut(met.mapInArrow(_candidates, PAIRS), "line-candidates"))
+        del met
+        _freed(spark)
+    found = reduce(DataFrame.unionByName, tables)
     edges = cut(found.filter("v is not null").select("u", "v").distinct(), "line-edges")
     _freed(spark)
     texts = cut(_texts(named, edges), "line-texts")
@@ -596,9 +630,8 @@ def _links(named: DataFrame, counts: DataFrame) -> DataFrame:
     rest = cut(both.filter("coalesce(gu, u) != coalesce(gv, v)").select("u", "v"), "line-edges")
     drop_cut(edges)
     drop_cut(stars)
-    links = links.unionByName(cut(_verified(rest, texts), "line-links"))
+    links = links.unionByName(_verified_by_lots(rest, texts))
     drop_cut(rest)
-    _freed(spark)
     large = found.filter("v is null").select("shard", F.col("u").alias("h"))
     if large.limit(1).count():
         # some rounds tell most of what is connected; what they miss is only verified once more
@@ -614,8 +647,8 @@ def _links(named: DataFrame, counts: DataFrame) -> DataFrame:
         new = cut(_dealt(rest, "h", "g", "line").mapInArrow(_across, PAIRS).select("u", "v"), "line-links")
         drop_cut(large)
         links = links.unionByName(new)
-    drop_cut(found)
-    drop_cut(texts)
+    for table in (*tables, texts):
+        drop_cut(table)
     return links
 
 

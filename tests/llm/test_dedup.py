@@ -333,3 +333,35 @@ def test_word_counts_take_few_rows(spark):
     at = lambda w: int(line_dedup.lines_of(pa.array([w], pa.large_string()))["hashes"][0] % np.uint64(line_dedup.RANKS))
     assert totals.sum() == 8000 * 13 + 70000 and totals[at("often")] == 70000 + 13 * sum(at(f"{a}{b}{c}") == at("often") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst")
     assert rows.count() <= 7995
+
+
+def test_unlike_lines_of_few_words_do_not_become_pairs(spark, monkeypatch):
+    # all words are common, and short signatures let the unlike lines pass as near
+    rnd = random.Random(29)
+    vocabulary = [x + y + z for x in "bdfgklmnpr" for y in "aeiouwy" for z in "bdfgklmnpr"]
+    lines = [rnd.choices(vocabulary, k=n) for n in (62, 140, 250) for _ in range(60)]
+    lines += [[*x[:-2], "end"] for x in lines[::30]]
+    docs = documents(spark, ["\n".join(map(" ".join, lines[k : k + 30])) for k in range(0, len(lines), 30)])
+    made, cut = {}, line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: made.update({name: cut(df, name)}) or made[name])
+    monkeypatch.setattr(line_dedup, "drop_cut", lambda df: None)
+    line_dedup.prepare(spark)
+    counts = docs.selectExpr("doc_id", "xxhash64(text) th", "text").mapInArrow(line_dedup._occurrences, "doc_id long, th long, line int, h long").filter("doc_id is null")
+    monkeypatch.setattr(line_dedup, "_texts", lambda named, edges: 1 / 0)  # the pairs are all that is asked for
+    try:
+        line_dedup._links(docs.select("doc_id", "text"), counts)
+    except ZeroDivisionError:
+        pass
+    assert 6 <= made["line-edges"].count() < 20
+
+
+def test_pairs_are_verified_by_lots_without_losing_any(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LOT", 1)
+    line_dedup.prepare(spark)
+    texts = spark.createDataFrame([(j, "".join(chr(0x10000 + k) for k in range(j, j + 9))) for j in range(12)], "h long, line string")
+    edges = spark.createDataFrame([(i, j) for i in range(12) for j in range(i)], "u long, v long")
+    got = line_dedup._verified_by_lots(edges, texts)
+    assert len(got.inputFiles()) > len(line_dedup.cut(line_dedup._verified(edges, texts), "line-links").inputFiles())
+    assert sorted((r.u, r.v) for r in got.collect()) == []  # two edits in nine words
+    texts = spark.createDataFrame([(j, "".join(chr(0x10000 + k) for k in range(j, j + 10))) for j in range(12)], "h long, line string")
+    assert sorted((r.u, r.v) for r in line_dedup._verified_by_lots(edges, texts).collect()) == [(i, i - 1) for i in range(1, 12)]
