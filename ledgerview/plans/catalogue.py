@@ -620,20 +620,15 @@ def backup_restore(s, d):
     return store.read(s, f"{path}/log").select("docid", "typename", "version", "is_deleted", "body")
 
 
-def _followed(s, d) -> tuple[str, str]:
-    path = _folder(s)
-    for low, high in ((0, 300), (300, 1 << 62)):
-        X.event_log(s, d).filter((F.col("version") >= low) & (F.col("version") < high)).coalesce(1).write.mode("append").parquet(f"{path}/log")
-    return path, f"{path}/log"
-
-
 @_add("stream_view", f"{LATEST} SELECT docid, version, CAST(json_extract_string(body, '$.k') AS INTEGER) AS k FROM live WHERE CAST(json_extract_string(body, '$.k') AS INTEGER) < 50")
 def stream_view(s, d):
     """A view that follows the log in micro-batches; versions that map to nothing hide what was before."""
-    path, log = _followed(s, d)
+    path = _folder(s)
     k = F.get_json_object("body", "$.k").cast("int")
     mapper = lambda docs: docs.filter(k < 50).select("docid", "version", k.alias("k"))
-    maintain.follow_view(s, log, mapper, f"{path}/view", f"{path}/cp", files=1)
+    for low, high in ((0, 300), (300, 1 << 62)):  # each part of the log is a micro-batch of as many tasks as it takes
+        X.event_log(s, d).filter((F.col("version") >= low) & (F.col("version") < high)).write.mode("append").parquet(f"{path}/log")
+        maintain.follow_view(s, f"{path}/log", mapper, f"{path}/view", f"{path}/cp")
     return maintain.current_view(s, f"{path}/view")
 
 

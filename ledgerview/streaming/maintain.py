@@ -43,7 +43,10 @@ def current_view(spark: SparkSession, out: str) -> DataFrame:
     """Rows of the latest version of every docid that is not deleted; equal to a rebuild from the log."""
     rows = spark.read.parquet(out).drop("batch")
     # a version that maps to nothing still hides the rows of those before it
-    last = rows.filter("is_mark").groupBy("docid").agg(F.max(F.struct("version", "is_deleted")).alias("m")).select("docid", "m.*").filter(~F.col("is_deleted"))
+    # maximums of numbers are hashed, those of structs would sort all marks; of equal versions a tombstone counts
+    of = lambda state: F.max(F.when(state, F.col("version")))
+    last = rows.filter("is_mark").groupBy("docid").agg(F.max("version").alias("version"), of(~F.col("is_deleted")).alias("live"), of(F.col("is_deleted")).alias("dead"))
+    last = last.filter("live = version and (dead is null or dead < version)")
     return rows.filter(~F.col("is_mark")).drop("is_deleted", "is_mark").join(last.select("docid", "version"), ["docid", "version"], "left_semi")
 
 

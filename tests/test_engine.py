@@ -208,3 +208,12 @@ def test_urls_and_cron():
     assert not cron.is_time("*/7 * * * *", at) and not cron.is_time("30 12 * * 1", at)
     with pytest.raises(ValueError):
         cron.is_time("* * * *", at)
+
+
+def test_state_of_a_followed_view_is_hashed_not_sorted(spark, tmp_path):
+    rows = [("a", 1, 5, False, False), ("a", 1, None, False, True), ("b", 2, 6, False, False), ("b", 2, None, False, True), ("b", 3, None, True, True), ("c", 4, 7, False, False), ("c", 4, None, False, True), ("c", 5, None, False, True)]
+    rows += [("d", 6, 8, False, False), ("d", 6, None, False, True), ("d", 6, None, True, True)]  # of equal versions the tombstone counts
+    spark.createDataFrame(rows, "docid string, version long, k int, is_deleted boolean, is_mark boolean").write.parquet(str(tmp_path / "view" / "batch=0"))
+    found = maintain.current_view(spark, str(tmp_path / "view"))
+    assert [tuple(r) for r in found.select("docid", "version", "k").collect()] == [("a", 1, 5)]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
